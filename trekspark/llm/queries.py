@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trekspark.llm import simhash_dedup
+from trekspark.llm import line_dedup, simhash_dedup
 
 QUERIES = {
+    "op1_fuzzy_line_dedup": line_dedup.op1_fuzzy_line_dedup,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
 }
 
