@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from trekspark.llm import line_dedup, simhash_dedup
+from trekspark.llm import line_dedup, mixing, packing, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_fuzzy_line_dedup": line_dedup.op1_fuzzy_line_dedup,
+    "op4_toxicity_noisy_or": toxicity.op4_toxicity_noisy_or,
+    "op5_sainte_lague_mixing": mixing.op5_sainte_lague_mixing,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
+    "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
 }
 
 ORACLE_SQL: dict[str, str] = {}
