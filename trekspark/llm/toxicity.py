@@ -18,6 +18,7 @@ MAX_LABELLED = 8000  # documents that the classifier is fitted on, half of eithe
 DIMENSIONS = 1 << 18
 THRESHOLD = 0.7
 MEMO_WORDS = 300_000
+MIN_WORDS = 5
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -34,12 +35,20 @@ def word_features(word: str) -> list[int]:
 
 
 def sentences(text: str) -> list[tuple[int, int, set[str]]]:
-    """(start, end, distinct lower-case words) of each sentence that has a word."""
-    out = []
+    """(start, end, distinct lower-case words) of each sentence; one of under five words goes on into
+    the next, so that shouted or listed single words do not count as instances of their own."""
+    out, words, first = [], set(), 0
     for m in _SENTENCE.finditer(text):
-        words = set(_WORD.findall(m[0].lower()))
-        if words:
-            out.append((m.start(), m.end(), words))
+        found = _WORD.findall(m[0].lower())
+        if found:
+            first = first if words else m.start()
+            words.update(found)
+            last = m.end()
+            if len(words) >= MIN_WORDS:
+                out.append((first, last, words))
+                words = set()
+    if words:
+        out.append((first, last, words))
     return out
 
 
@@ -81,7 +90,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = 120, l1: float = 0.25, rate: float = 0.3, min_documents: int = 4) -> NoisyOrModel:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = 150, l1: float = 0.1, rate: float = 0.3, min_documents: int = 4) -> NoisyOrModel:
     """Fit on a bounded sample of labelled documents whose crc32(doc_id) mod 3 is not 1.
 
     Features are taken in Spark tasks from whole texts; the sample's feature ids come to the driver,
