@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from trekspark.llm import line_dedup, mixing, packing, simhash_dedup, toxicity
+from trekspark.llm import embedding_dedup, line_dedup, mixing, packing, simhash_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_fuzzy_line_dedup": line_dedup.op1_fuzzy_line_dedup,
+    "op2_pivot_table_top_k": topk_search.op2_pivot_table_top_k,
     "op4_toxicity_noisy_or": toxicity.op4_toxicity_noisy_or,
     "op5_sainte_lague_mixing": mixing.op5_sainte_lague_mixing,
+    "op6_epsilon_grid_order": embedding_dedup.op6_epsilon_grid_order,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_pivot_table_top_k": topk_search.OP2_SQL,
+    "op6_epsilon_grid_order": embedding_dedup.OP6_SQL,
+}

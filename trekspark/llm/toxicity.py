@@ -90,7 +90,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = 150, l1: float = 0.1, rate: float = 0.3, min_documents: int = 4) -> NoisyOrModel:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = 300, l1: float = 0.1, rate: float = 1.0, min_documents: int = 4) -> NoisyOrModel:
     """Fit on a bounded sample of labelled documents whose crc32(doc_id) mod 3 is not 1.
 
     Features are taken in Spark tasks from whole texts; the sample's feature ids come to the driver,
