@@ -1,0 +1 @@
+"""DataFrame operators on tracks, regions, routes, forecasts and results."""
