@@ -112,30 +112,45 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     y = sample.toxic.to_numpy()
     if not len(y) or y.min() == y.max():
         return NoisyOrModel(np.zeros(DIMENSIONS, np.float32), -60.0)
-    sizes = [np.frombuffer(x, np.int32) for x in sample.sizes]
-    feats = [np.frombuffer(x, np.int32) for x in sample.features]
-    of_doc = np.repeat(np.arange(len(y)), [len(x) for x in sizes])
-    of_sentence = np.repeat(np.arange(len(of_doc)), np.concatenate(sizes))
-    feature = np.concatenate(feats)
     seen = np.zeros(DIMENSIONS, np.int32)
-    for x in feats:
-        seen[np.unique(x)] += 1
-    use = seen[feature] >= min_documents
-    names, feature = np.unique(feature[use], return_inverse=True)
-    of_sentence = of_sentence[use]
-    w, bias = np.zeros(len(names)), -4.0
+    for x in sample.features:
+        seen[np.unique(np.frombuffer(x, np.int32))] += 1
+    names = np.flatnonzero(seen >= min_documents)
+    place = np.full(DIMENSIONS, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    of_doc, feature, of_sentence, first = [], [], [], 0
+    for n, (sizes, x) in enumerate(zip(sample.sizes, sample.features)):
+        sizes = np.frombuffer(sizes, np.int32)
+        at, sentence = place[np.frombuffer(x, np.int32)], np.repeat(np.arange(first, first + len(sizes), dtype=np.int32), sizes)
+        feature.append(at[at >= 0])
+        of_sentence.append(sentence[at >= 0])
+        of_doc.append(np.full(len(sizes), n, np.int32))
+        first += len(sizes)
+    del sample
+    feature, of_sentence, of_doc = np.concatenate(feature), np.concatenate(of_sentence), np.concatenate(of_doc)
+    if not len(feature):
+        return NoisyOrModel(np.zeros(DIMENSIONS, np.float32), -60.0)
+    # the same pairs twice: by sentence for the scores, by feature for the gradient
+    s_starts = np.flatnonzero(np.diff(of_sentence, prepend=-1))
+    s_names = of_sentence[s_starts]
+    order = np.argsort(feature, kind="stable").astype(np.int32)
+    by_feature = of_sentence[order]
+    f_starts = np.flatnonzero(np.diff(feature[order], prepend=-1))
+    del order, of_sentence
+    w, bias = np.zeros(len(names), np.float32), -4.0
     g_w, g_b = np.full(len(names), 1e-6), 1e-6
     for _ in range(rounds):
-        z = bias + np.bincount(of_sentence, w[feature], len(of_doc))
+        z = np.full(len(of_doc), bias)
+        z[s_names] += np.add.reduceat(w[feature], s_starts)
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1e-15, 1 - 1e-12)
         none = np.exp(np.bincount(of_doc, np.log1p(-p), len(y)))
         grad = np.where(y[of_doc] == 1, -p * (none / np.maximum(1 - none, 1e-12))[of_doc], p)
-        d_w, d_b = np.bincount(feature, grad[of_sentence], len(names)), grad.sum()
-        g_w += d_w**2
+        d_w, d_b = np.add.reduceat(grad.astype(np.float32)[by_feature], f_starts), grad.sum()
+        g_w += d_w.astype(float) ** 2
         g_b += d_b**2
         step = rate / np.sqrt(g_w)
-        w -= step * d_w
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        moved = w - step * d_w
+        w = (np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)).astype(np.float32)
         bias -= rate / np.sqrt(g_b) * d_b
     weights = np.zeros(DIMENSIONS, np.float32)
     weights[names] = w
