@@ -13,9 +13,9 @@ def haversine_m(lon1, lat1, lon2, lat2) -> Column:
     """Great-circle distance in metres; NULL if any argument is."""
     lon1, lat1, lon2, lat2 = (F.col(c) if isinstance(c, str) else c for c in (lon1, lat1, lon2, lat2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_M * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))
 
 
 def haversine_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     """The same as SQL text."""
-    return f"(2 * 6371000e0 * asin(least(1e0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
+    return f"(2 * 6371000e0 * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"

@@ -145,9 +145,9 @@ def naismith_seconds(metres: str, climb: str) -> Column:
     return (F.col(metres) / 1000 / 5 + F.col(climb) / 600) * 3600
 
 
-@query("naismith_seconds", "SELECT track, seg_idx, round((dist_m / 1000 / 5 + up_m / 600) * 3600, 1) AS walk_s FROM fx_s")
+@query("naismith_seconds", "SELECT track, seg_idx, round((dist_m / 1000 / 5 + up_m / 600) * 3600 + 1e-6, 3) AS walk_s FROM fx_s")
 def _(t):
-    return t.fx_s.select("track", "seg_idx", F.round(naismith_seconds("dist_m", "up_m"), 1).alias("walk_s"))
+    return t.fx_s.select("track", "seg_idx", F.round(naismith_seconds("dist_m", "up_m") + 1e-6, 3).alias("walk_s"))
 
 
 def poi_level1(code: str) -> Column:
