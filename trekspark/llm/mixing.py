@@ -105,16 +105,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words (with the white space between them). text and n_chars change, other columns stay."""
     plan = mix(docs, **options)
     by = Window.partitionBy("doc_id").orderBy("source", "size")
-    plan = plan.withColumn("_nth", F.row_number().over(by)).select(F.col("doc_id").alias("_id"), "_nth", "size", "passes", "from_1", "to_1", "from_2", "to_2").where("passes > 0 or to_1 > from_1 or to_2 > from_2")
+    used = plan.withColumn("_nth", F.row_number().over(by)).where("passes > 0 or to_1 > from_1 or to_2 > from_2")
+    used = used.select(F.col("doc_id").alias("_id"), F.col("_nth").alias("_n"), *(F.col(c).alias(f"_{c}") for c in ("size", "passes", "from_1", "to_1", "from_2", "to_2")))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
     rows = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", size)))
-    both = rows.join(plan, rows.doc_id.eqNullSafe(plan._id) & (rows._nth == plan._nth)).drop("_nth")
+    both = rows.join(used, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n")))
     span = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("passes").cast("int"))
-    parts = F.filter(F.concat(whole, F.array(span("from_1", "to_1"), span("from_2", "to_2"))), lambda x: x.b > x.a)
+    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("_size").alias("b")), F.col("_passes").cast("int"))
+    parts = F.filter(F.concat(whole, F.array(span("_from_1", "_to_1"), span("_from_2", "_to_2"))), lambda x: x.b > x.a)
     cut = both.withColumn("_part", F.explode(parts))
     words = F.split(F.regexp_replace("text", f"^{SPACE}+", ""), f"(?<={SPACE})(?={WORD[:-1]})")
-    text = F.when((F.col("_part.a") == 0) & (F.col("_part.b") == F.col("size")), F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("_part.a") + 1).cast("int"), (F.col("_part.b") - F.col("_part.a")).cast("int")), ""))
+    text = F.when((F.col("_part.a") == 0) & (F.col("_part.b") == F.col("_size")), F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("_part.a") + 1).cast("int"), (F.col("_part.b") - F.col("_part.a")).cast("int")), ""))
     cut = cut.withColumn("text", text)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
