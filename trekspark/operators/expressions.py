@@ -29,7 +29,8 @@ FEATURE_GROUPS = {
     "updown_only": ["up_m", "down_m"],
 }
 
-TRACK_ORDER = Window.partitionBy("track_id").orderBy("t_s", "event_id")
+def track_order():
+    return Window.partitionBy("track_id").orderBy("t_s", "event_id")
 
 
 def time_to_seconds(text: str) -> Column:
@@ -66,7 +67,7 @@ def _(t):
 
 def hop_metres(df: DataFrame) -> DataFrame:
     """hop_m: metres from the track's previous point; NULL at its first."""
-    return df.withColumn("hop_m", haversine_m(F.lag("lon").over(TRACK_ORDER), F.lag("lat").over(TRACK_ORDER), F.col("lon"), F.col("lat")))
+    return df.withColumn("hop_m", haversine_m(F.lag("lon").over(track_order()), F.lag("lat").over(track_order()), F.col("lon"), F.col("lat")))
 
 
 HOPS_SQL = f"SELECT *, {haversine_sql('lag(lon) OVER o', 'lag(lat) OVER o', 'lon', 'lat')} AS hop_m, t_s - lag(t_s) OVER o AS dt_s FROM fx_p WINDOW o AS (PARTITION BY track_id ORDER BY t_s, event_id)"
@@ -113,7 +114,7 @@ def _(t):
 
 def point_speed(df: DataFrame) -> DataFrame:
     """speed: km/h from the previous point; 0 at the first point and where time does not advance."""
-    dt = F.col("t_s") - F.lag("t_s").over(TRACK_ORDER)
+    dt = F.col("t_s") - F.lag("t_s").over(track_order())
     return hop_metres(df).withColumn("speed", F.when(dt > 0, F.col("hop_m") / dt * 3.6).otherwise(0.0))
 
 
@@ -294,7 +295,7 @@ STEPS_SQL = "st AS (SELECT *, lead(region_id) OVER o AS nxt, lead(t_s) OVER o -
 
 def steps(visits: DataFrame) -> DataFrame:
     """Visits with the next region (nxt), the time to it (dur) and their position (from 1)."""
-    return visits.withColumns({"nxt": F.lead("region_id").over(TRACK_ORDER), "dur": F.lead("t_s").over(TRACK_ORDER) - F.col("t_s"), "pos": F.row_number().over(TRACK_ORDER)})
+    return visits.withColumns({"nxt": F.lead("region_id").over(track_order()), "dur": F.lead("t_s").over(track_order()) - F.col("t_s"), "pos": F.row_number().over(track_order())})
 
 
 @query("reachable_mask", f"WITH {STEPS_SQL} SELECT track_id, event_id, region_id, nxt FROM st a WHERE track_id % 10 >= 7 AND EXISTS (SELECT 1 FROM st b WHERE b.track_id % 50 = 1 AND b.region_id = a.region_id AND b.nxt = a.nxt)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekspark.functions.geo import haversine_m
-from trekspark.operators.expressions import HOPS_SQL, TRACK_ORDER, hop_metres, point_speed
+from trekspark.operators.expressions import HOPS_SQL, hop_metres, point_speed, track_order
 from trekspark.plans.registry import query
 
 # Classes of points of interest that are kept, and codes within them that are not.
@@ -27,12 +27,12 @@ def filter_polygon(points: DataFrame, ring: DataFrame) -> DataFrame:
     A scene's edges travel as one array, so a point meets its scene once and no rows are multiplied.
     """
     edges = boundary_edges(ring).groupBy("scene").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
-    crossed = F.size(F.filter("_edges", lambda e: (F.least(e.y1, e.y2) < F.col("lat")) & (F.col("lat") <= F.greatest(e.y1, e.y2)) & ((e.x1 == e.x2) | (F.col("lon") <= (F.col("lat") - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) + e.x1))))
+    crossed = F.size(F.filter("_edges", lambda e: (F.least(e.y1, e.y2) < F.col("lat")) & (F.col("lat") <= F.greatest(e.y1, e.y2)) & (F.col("lon") <= F.greatest(e.x1, e.x2)) & ((e.x1 == e.x2) | (F.col("lon") <= (F.col("lat") - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) + e.x1))))
     return points.join(edges, "scene").where(crossed % 2 == 1).select(points["*"])
 
 
 @query("filter_polygon", """WITH e AS (SELECT scene, lon AS x1, lat AS y1, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS x2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2 FROM fx_b WINDOW w AS (PARTITION BY scene ORDER BY i))
-SELECT track_id, event_id FROM (SELECT p.track_id, p.event_id, count(*) AS n FROM fx_p p JOIN e ON e.scene = p.scene AND least(y1, y2) < lat AND lat <= greatest(y1, y2) AND (x1 = x2 OR lon <= (lat - y1) * (x2 - x1) / (y2 - y1) + x1) GROUP BY 1, 2) WHERE n % 2 = 1""")
+SELECT track_id, event_id FROM (SELECT p.track_id, p.event_id, count(*) AS n FROM fx_p p JOIN e ON e.scene = p.scene AND least(y1, y2) < lat AND lat <= greatest(y1, y2) AND lon <= greatest(x1, x2) AND (x1 = x2 OR lon <= (lat - y1) * (x2 - x1) / (y2 - y1) + x1) GROUP BY 1, 2) WHERE n % 2 = 1""")
 def _(t):
     return filter_polygon(t.fx_p, t.fx_b).select("track_id", "event_id")
 
@@ -48,7 +48,7 @@ def _(t):
 
 def drop_jump_tracks(points: DataFrame, max_jump_m: float = 100.0) -> DataFrame:
     """Drop a whole track if a pair of points with dt > 0 is more than ``max_jump_m`` apart."""
-    dt = F.col("t_s") - F.lag("t_s").over(TRACK_ORDER)
+    dt = F.col("t_s") - F.lag("t_s").over(track_order())
     jump = F.coalesce((dt > 0) & (F.col("hop_m") > max_jump_m), F.lit(False))
     flagged = hop_metres(points).withColumn("_jump", jump)
     return flagged.withColumn("_any", F.max("_jump").over(Window.partitionBy("track_id"))).where("not _any").select(points.columns)
@@ -80,7 +80,7 @@ def screen_tracks(points: DataFrame, box: tuple, min_points: int = 50, max_gap_s
     lat_min, lat_max, lon_min, lon_max = box
     inside = F.col("lat").between(lat_min, lat_max) & F.col("lon").between(lon_min, lon_max)
     counts = points.groupBy("track_id").agg(F.count("*").alias("n"), F.count_if(inside).alias("n_in"))
-    within = hop_metres(points.where(inside)).withColumn("dt", F.col("t_s") - F.lag("t_s").over(TRACK_ORDER))
+    within = hop_metres(points.where(inside)).withColumn("dt", F.col("t_s") - F.lag("t_s").over(track_order()))
     sums = within.groupBy("track_id").agg(F.max("dt").alias("gap"), (F.sum("hop_m") / 1000).alias("km"))
     reason = F.when(F.col("n") < min_points, "few_points").when(F.col("n_in") < min_points, "few_in_box").when(F.col("gap") > max_gap_s, "gap").when(F.coalesce("km", F.lit(0.0)) < min_km, "short").otherwise("ok")
     return counts.join(sums, "track_id", "left").select("track_id", reason.alias("reason"))
@@ -108,7 +108,7 @@ def _(t):
 
 def drop_vehicle_tracks(points: DataFrame, max_median_kmh: float = 15.0, min_points: int = 10) -> DataFrame:
     """Drop tracks under ``min_points``, and those whose median speed without the first point is too high."""
-    moved = point_speed(points).withColumn("_n", F.row_number().over(TRACK_ORDER))
+    moved = point_speed(points).withColumn("_n", F.row_number().over(track_order()))
     slow = moved.groupBy("track_id").agg(F.percentile(F.when(F.col("_n") > 1, F.col("speed")), 0.5).alias("m"), F.count("*").alias("n")).where((F.col("m") <= max_median_kmh) & (F.col("n") >= min_points))
     return points.join(slow.select("track_id"), "track_id", "left_semi")
 
@@ -120,7 +120,7 @@ def _(t):
 
 @query("drop_bad_time_segments", "WITH d AS (SELECT track_id, event_id, t_s, CAST(floor((row_number() OVER o - 1) / 20) AS INT) AS seg FROM fx_p WINDOW o AS (PARTITION BY track_id ORDER BY t_s, event_id)), f AS (SELECT *, t_s - lag(t_s) OVER (PARTITION BY track_id, seg ORDER BY t_s, event_id) AS dt FROM d) SELECT track_id, seg, max(t_s) - min(t_s) AS dur FROM f GROUP BY 1, 2 HAVING max(dt) <= 300 AND min(dt) > 0 AND max(t_s) > min(t_s)")
 def _(t):
-    seg = F.floor((F.row_number().over(TRACK_ORDER) - 1) / 20).cast("int")
+    seg = F.floor((F.row_number().over(track_order()) - 1) / 20).cast("int")
     rows = t.fx_p.withColumn("seg", seg)
     return good_time_segments(rows, ["track_id", "seg"], 300.0).select("track_id", "seg", "dur")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekspark.functions.geo import haversine_m
-from trekspark.operators.expressions import HOPS_SQL, STEPS_SQL, TRACK_ORDER, hop_metres, steps
+from trekspark.operators.expressions import HOPS_SQL, STEPS_SQL, hop_metres, steps, track_order
 from trekspark.operators.filters import CLEAN_SQL, drop_jump_tracks
 from trekspark.plans.registry import query
 
@@ -16,7 +16,7 @@ from trekspark.plans.registry import query
 def detect_stays(points: DataFrame, max_kmh: float = 1.0, min_s: float = 30.0, min_points: int = 1) -> DataFrame:
     """stay: whether the point is in a maximal run of slow points (NULL speed is not slow) that lasts ``min_s``."""
     slow = F.coalesce(F.col("speed_kmh") <= max_kmh, F.lit(False))
-    run = F.row_number().over(TRACK_ORDER) - F.row_number().over(Window.partitionBy("track_id", "_slow").orderBy("t_s", "event_id"))
+    run = F.row_number().over(track_order()) - F.row_number().over(Window.partitionBy("track_id", "_slow").orderBy("t_s", "event_id"))
     w = Window.partitionBy("track_id", "_slow", "_run")
     marked = points.withColumn("_slow", slow).withColumn("_run", run)
     lasts = (F.max("t_s").over(w) - F.min("t_s").over(w) >= min_s) & (F.count("*").over(w) >= min_points)
@@ -49,7 +49,7 @@ def _(t):
 
 def compress_sequence(visits: DataFrame) -> DataFrame:
     """Visits without consecutive repeats of a region; returns to a region stay."""
-    before = F.lag("region_id").over(TRACK_ORDER)
+    before = F.lag("region_id").over(track_order())
     return visits.withColumn("_b", before).where("_b is null or _b != region_id").drop("_b")
 
 
@@ -113,7 +113,7 @@ def _(t):
 
 def sample_equidistant(points: DataFrame, n: int = 10) -> DataFrame:
     """(track_id, i, lon, lat): the points at ``n`` evenly spaced positions (cut to whole numbers) of each track."""
-    rows = points.withColumns({"_k": F.row_number().over(TRACK_ORDER) - 1, "_n": F.count("*").over(Window.partitionBy("track_id"))})
+    rows = points.withColumns({"_k": F.row_number().over(track_order()) - 1, "_n": F.count("*").over(Window.partitionBy("track_id"))})
     wanted = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.lit(i) * (F.col("_n") - 1) / (n - 1)).alias("k")) for i in range(n))), lambda x: x.k == F.col("_k"))
     return rows.select("track_id", "lon", "lat", F.explode(wanted).alias("_w")).select("track_id", F.col("_w.i").alias("i"), "lon", "lat")
 
@@ -126,8 +126,8 @@ def _(t):
 def propagate_labels(df: DataFrame, label: str) -> DataFrame:
     """Labels of -1 take the last label before them along the track, else the first after."""
     known = F.when(F.col(label) >= 0, F.col(label))
-    after = TRACK_ORDER.rowsBetween(0, Window.unboundedFollowing)
-    before = TRACK_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    after = track_order().rowsBetween(0, Window.unboundedFollowing)
+    before = track_order().rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(label, F.coalesce(F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after), F.lit(-1)))
 
 
@@ -139,7 +139,7 @@ def _(t):
 
 def history(df: DataFrame) -> DataFrame:
     """Means over a step's earlier steps only: n_before, mean_dur, and the time since the track's start."""
-    earlier = TRACK_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = track_order().rowsBetween(Window.unboundedPreceding, -1)
     return steps(df).withColumns({"n_before": F.count("dur").over(earlier), "mean_dur": F.avg("dur").over(earlier), "elapsed": F.col("t_s") - F.min("t_s").over(Window.partitionBy("track_id"))})
 
 
@@ -160,8 +160,9 @@ def _(t):
     return sliding_windows(t.fx_s, 4, 3).select("track", "seg_idx", F.round(F.aggregate("climbs", F.lit(0.0), lambda a, x: a + x) + 1e-7, 3).alias("climb"), "dur_s")
 
 
-def interpolate_nulls(df: DataFrame, value: str, order: Window = TRACK_ORDER) -> DataFrame:
+def interpolate_nulls(df: DataFrame, value: str) -> DataFrame:
     """Linear by position inside gaps, the nearest value at the ends, NULL if there is none."""
+    order = track_order()
     rows = df.withColumn("_i", F.row_number().over(order))
     here = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
     rows = rows.withColumns({"_a": F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first(here, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))})
@@ -177,14 +178,14 @@ def _(t):
 
 @query("cumulative_arrivals", f"WITH {STEPS_SQL} SELECT track_id, pos, coalesce(sum(dur) OVER (PARTITION BY track_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS arrival FROM st")
 def _(t):
-    return steps(t.fx_r).withColumn("arrival", F.coalesce(F.sum("dur").over(TRACK_ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("track_id", "pos", "arrival")
+    return steps(t.fx_r).withColumn("arrival", F.coalesce(F.sum("dur").over(track_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("track_id", "pos", "arrival")
 
 
 def region_transitions(visits: DataFrame) -> DataFrame:
     """One row per change of region between runs: from, to, the runs' start times and the from run's stops."""
-    stops = F.sum("is_stop").over(TRACK_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    stops = F.sum("is_stop").over(track_order().rowsBetween(Window.unboundedPreceding, -1))
     runs = compress_sequence(visits.withColumn("_stops", F.coalesce(stops, F.lit(0))))
-    nxt = runs.withColumns({"region_to": F.lead("region_id").over(TRACK_ORDER), "t_end": F.lead("t_s").over(TRACK_ORDER), "_next": F.lead("_stops").over(TRACK_ORDER)})
+    nxt = runs.withColumns({"region_to": F.lead("region_id").over(track_order()), "t_end": F.lead("t_s").over(track_order()), "_next": F.lead("_stops").over(track_order())})
     return nxt.where("region_to is not null").select("track_id", F.col("region_id").alias("region_from"), "region_to", F.col("t_s").alias("t_start"), "t_end", (F.col("_next") - F.col("_stops")).alias("stops"))
 
 
