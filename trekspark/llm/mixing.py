@@ -124,3 +124,27 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+#: The same mix: every quotient of every seat is ranked, and targets come from the level of the uncapped sources.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, CAST(row_number() OVER (ORDER BY source NULLS LAST) AS BIGINT) AS rank FROM s0),
+s2 AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, source_size * 2e0 AS cap, sum(source_size) OVER () * 1.5e0 AS total FROM s1),
+s3 AS (SELECT *, (total - coalesce(sum(cap) OVER b, 0e0)) * weight >= cap * (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0e0)) AS capped FROM s2 WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s4 AS (SELECT source, rank, source_size, round(CASE WHEN capped THEN cap ELSE (total - sum(CASE WHEN capped THEN cap ELSE 0e0 END) OVER ()) / nullif(sum(CASE WHEN capped THEN 0e0 ELSE weight END) OVER (), 0e0) * weight END, 6) AS target FROM s3),
+k AS (SELECT CAST(round(sum(target) / 32) AS BIGINT) AS seats FROM s4 WHERE target > 0),
+q0 AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * j - 1) DESC, rank, j) AS place FROM s4, k, unnest(range(1, k.seats + 1)) AS u(j) WHERE target > 0),
+q AS (SELECT rank, count(*) AS quota FROM q0, k WHERE place <= seats GROUP BY rank),
+p AS (SELECT d.doc_id, d.size, s4.*, coalesce(q.quota, 0) AS source_quota, md5('mix-1|' || CAST(d.doc_id AS VARCHAR)) AS mixed, greatest(CAST(ceil(source_size / 2e6) AS BIGINT), 1) AS shards FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source LEFT JOIN q ON q.rank = s4.rank),
+w AS (SELECT *, CAST('0x' || substr(mixed, 1, 15) AS BIGINT) % shards AS shard FROM p WHERE size > 0),
+h AS (SELECT rank, shard, source_quota, CAST(sum(size) AS BIGINT) AS shard_size FROM w GROUP BY 1, 2, 3),
+h0 AS (SELECT rank, shard, source_quota, row_number() OVER (PARTITION BY rank ORDER BY CAST(shard_size AS DOUBLE) / (2 * j - 1) DESC, shard, j) AS place FROM h, unnest(range(1, h.source_quota + 1)) AS u(j)),
+h1 AS (SELECT rank, shard, count(*) AS quota FROM h0 WHERE place <= source_quota GROUP BY 1, 2),
+r AS (SELECT h.rank, h.shard, CAST(ceil(shard_size / 32e0) AS BIGINT) AS ring, least(coalesce(quota, 0), 2 * CAST(ceil(shard_size / 32e0) AS BIGINT)) AS quota FROM h LEFT JOIN h1 ON h1.rank = h.rank AND h1.shard = h.shard),
+c AS (SELECT rank, shard, quota // ring AS passes, quota % ring AS blocks, ring * 32 AS whole, CAST('0x' || substr(md5('mix-1|' || CAST(rank AS VARCHAR) || '|' || CAST(shard AS VARCHAR)), 1, 15) AS BIGINT) % ring AS block0 FROM r),
+a AS (SELECT w.*, passes, whole, block0 * 32 AS from0, (block0 + blocks) * 32 AS to0, CAST(coalesce(sum(size) OVER (PARTITION BY w.rank, w.shard ORDER BY mixed, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos0 FROM w JOIN c ON c.rank = w.rank AND c.shard = w.shard)
+SELECT doc_id, source, size, source_size, target, CAST(passes * size + least(greatest(to0 - pos0, 0), size) - least(greatest(from0 - pos0, 0), size) + least(greatest(to0 - whole - pos0, 0), size) AS BIGINT) AS taken FROM a
+UNION ALL SELECT doc_id, source, size, source_size, target, 0 FROM p WHERE size = 0
+"""

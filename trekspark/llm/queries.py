@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_sainte_lague_mixing": mixing.OP5_SQL,
     "op2_pivot_table_top_k": topk_search.OP2_SQL,
     "op6_epsilon_grid_order": embedding_dedup.OP6_SQL,
 }
