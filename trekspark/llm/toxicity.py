@@ -19,6 +19,7 @@ DIMENSIONS = 1 << 18
 THRESHOLD = 0.7
 MEMO_WORDS = 300_000
 MIN_WORDS = 5
+CHUNK = 500  # documents of the sample whose gradient is taken at a time
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -90,11 +91,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
 
 
+class _Chunk:
+    """Some documents of the sample: their (sentence, feature) pairs by sentence for the scores, by feature for the gradient."""
+
+    def __init__(self, rows: list[tuple], y: np.ndarray, place: np.ndarray) -> None:
+        sizes = [np.frombuffer(r[2], np.int32) for r in rows]
+        self.y, self.of_doc = y, np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in sizes])
+        feature = place[np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])]
+        of_sentence = np.repeat(np.arange(len(self.of_doc), dtype=np.int32), np.concatenate(sizes))[feature >= 0]
+        self.feature = feature[feature >= 0]
+        self.s_starts = np.flatnonzero(np.diff(of_sentence, prepend=-1))
+        self.s_names = of_sentence[self.s_starts]
+        order = np.argsort(self.feature, kind="stable")
+        self.by_feature, in_order = of_sentence[order], self.feature[order]
+        self.f_starts = np.flatnonzero(np.diff(in_order, prepend=-1))
+        self.f_names = in_order[self.f_starts]
+
+    def add_gradient(self, w: np.ndarray, bias: float, d_w: np.ndarray) -> float:
+        """Add the weights' gradient to ``d_w``; the bias's is returned."""
+        z = np.full(len(self.of_doc), bias)
+        if len(self.feature):
+            z[self.s_names] += np.add.reduceat(w[self.feature], self.s_starts)
+        p = np.clip(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1e-15, 1 - 1e-12)
+        none = np.exp(np.bincount(self.of_doc, np.log1p(-p), len(self.y)))
+        grad = np.where(self.y[self.of_doc] == 1, -p * (none / np.maximum(1 - none, 1e-12))[self.of_doc], p)
+        if len(self.feature):
+            d_w[self.f_names] += np.add.reduceat(grad.astype(np.float32)[self.by_feature], self.f_starts)
+        return float(grad.sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = 300, l1: float = 0.1, rate: float = 1.0, min_documents: int = 4) -> NoisyOrModel:
     """Fit on a bounded sample of labelled documents whose crc32(doc_id) mod 3 is not 1.
 
     Features are taken in Spark tasks from whole texts; the sample's feature ids come to the driver,
-    where full-batch Adagrad with a soft threshold minimises the noisy-or negative log likelihood.
+    partition by partition, where full-batch Adagrad with a soft threshold minimises the noisy-or negative log likelihood.
     Features in fewer than ``min_documents`` sampled documents get no weight. With no label of one
     kind, the model scores every document 0.
     """
@@ -107,46 +137,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
                 rows.append((doc_id, int(toxic), np.array([len(x) for x in found], np.int32).tobytes(), np.array([k for x in found for k in x], np.int32).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "sizes", "features"])
 
-    sample = labelled_sample(docs, labels, max_labelled).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, sizes binary, features binary").toPandas()
-    sample = sample.sort_values("doc_id")
-    y = sample.toxic.to_numpy()
+    sample = labelled_sample(docs, labels, max_labelled).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, sizes binary, features binary")
+    rows = sorted(((r.doc_id, r.toxic, bytes(r.sizes), bytes(r.features)) for r in sample.toLocalIterator()), key=lambda r: r[0])
+    y = np.array([r[1] for r in rows], np.int32)
     if not len(y) or y.min() == y.max():
         return NoisyOrModel(np.zeros(DIMENSIONS, np.float32), -60.0)
     seen = np.zeros(DIMENSIONS, np.int32)
-    for x in sample.features:
-        seen[np.unique(np.frombuffer(x, np.int32))] += 1
+    for r in rows:
+        seen[np.unique(np.frombuffer(r[3], np.int32))] += 1
     names = np.flatnonzero(seen >= min_documents)
+    if not len(names):
+        return NoisyOrModel(np.zeros(DIMENSIONS, np.float32), -60.0)
     place = np.full(DIMENSIONS, -1, np.int32)
     place[names] = np.arange(len(names), dtype=np.int32)
-    of_doc, feature, of_sentence, first = [], [], [], 0
-    for n, (sizes, x) in enumerate(zip(sample.sizes, sample.features)):
-        sizes = np.frombuffer(sizes, np.int32)
-        at, sentence = place[np.frombuffer(x, np.int32)], np.repeat(np.arange(first, first + len(sizes), dtype=np.int32), sizes)
-        feature.append(at[at >= 0])
-        of_sentence.append(sentence[at >= 0])
-        of_doc.append(np.full(len(sizes), n, np.int32))
-        first += len(sizes)
-    del sample
-    feature, of_sentence, of_doc = np.concatenate(feature), np.concatenate(of_sentence), np.concatenate(of_doc)
-    if not len(feature):
-        return NoisyOrModel(np.zeros(DIMENSIONS, np.float32), -60.0)
-    # the same pairs twice: by sentence for the scores, by feature for the gradient
-    s_starts = np.flatnonzero(np.diff(of_sentence, prepend=-1))
-    s_names = of_sentence[s_starts]
-    order = np.argsort(feature, kind="stable").astype(np.int32)
-    by_feature = of_sentence[order]
-    f_starts = np.flatnonzero(np.diff(feature[order], prepend=-1))
-    del order, of_sentence
+    chunks = []
+    for first in range(0, len(rows), CHUNK):
+        chunks.append(_Chunk(rows[first : first + CHUNK], y[first : first + CHUNK], place))
+        rows[first : first + CHUNK] = [None] * len(chunks[-1].y)  # its bytes are not needed again
     w, bias = np.zeros(len(names), np.float32), -4.0
     g_w, g_b = np.full(len(names), 1e-6), 1e-6
     for _ in range(rounds):
-        z = np.full(len(of_doc), bias)
-        z[s_names] += np.add.reduceat(w[feature], s_starts)
-        p = np.clip(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1e-15, 1 - 1e-12)
-        none = np.exp(np.bincount(of_doc, np.log1p(-p), len(y)))
-        grad = np.where(y[of_doc] == 1, -p * (none / np.maximum(1 - none, 1e-12))[of_doc], p)
-        d_w, d_b = np.add.reduceat(grad.astype(np.float32)[by_feature], f_starts), grad.sum()
-        g_w += d_w.astype(float) ** 2
+        d_w, d_b = np.zeros(len(names)), 0.0
+        for chunk in chunks:
+            d_b += chunk.add_gradient(w, bias, d_w)
+        g_w += d_w**2
         g_b += d_b**2
         step = rate / np.sqrt(g_w)
         moved = w - step * d_w
