@@ -88,13 +88,23 @@ def _(t):
     return s.where("track_id % 10 >= 7").join(mu, "region_id").select("track_id", "pos", F.round(F.abs(F.col("dur") - F.col("mu")), 3).alias("err"))
 
 
+def hash_rank(df: DataFrame, keys: list[str], seed: int, within: tuple = ()) -> DataFrame:
+    """``df`` with _k, the row's place (from 1) in the order of md5(seed | keys), then the keys, and _n, the number
+    of rows, of each ``within``. Rows are counted by the first four hex digits and ranked inside those
+    runs, so no task sorts all rows."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+    marked = df.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, 4))
+    w = Window.partitionBy(*within)
+    runs = marked.groupBy(*within, "_p").agg(F.count("*").alias("_c"))
+    runs = runs.select(*within, "_p", (F.sum("_c").over(w.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(*within, "_p").orderBy("_h", *keys))
+    return marked.withColumn("_k", inside).join(runs, [*within, "_p"]).withColumn("_k", F.col("_k") + F.col("_before")).drop("_h", "_p", "_before")
+
+
 def split_tracks(df: DataFrame, track: str, ratio: float = 0.7, seed: int = 42, within: tuple = ()) -> DataFrame:
     """``df`` with train: whole tracks, floor(n * ratio) of them (of each ``within``) in the order of
     md5(seed | track). The order is taken over one row per track."""
-    tracks = df.select(track, *within).distinct()
-    w = Window.partitionBy(*within)
-    order = w.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(track).cast("string"))), track)
-    picked = tracks.withColumn("train", F.row_number().over(order) <= F.floor(F.count("*").over(w) * ratio))
+    picked = hash_rank(df.select(track, *within).distinct(), [track], seed, within).select(track, *within, (F.col("_k") <= F.floor(F.col("_n") * ratio)).alias("train"))
     return df.join(picked, [track, *within])
 
 

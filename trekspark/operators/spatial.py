@@ -149,12 +149,12 @@ def radius_graph(points: DataFrame, key: str, radius: float) -> DataFrame:
     return near_pairs(p, p, radius).where(F.col(f"a_{key}") < F.col(f"b_{key}")).select(F.col("a_scene").alias("scene"), F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "d")
 
 
-GRAPH_SQL = f"gr AS (SELECT p.poi_id AS a, q.poi_id AS b, {planar_sql('p', 'q')} AS d FROM fx_poi p JOIN fx_poi q ON q.scene = p.scene AND p.poi_id < q.poi_id WHERE {planar_sql('p', 'q')} <= 13e-5)"
+GRAPH_SQL = f"gr AS (SELECT p.poi_id AS a, q.poi_id AS b, {planar_sql('p', 'q')} AS d FROM fx_poi p JOIN fx_poi q ON q.scene = p.scene AND p.poi_id < q.poi_id WHERE {planar_sql('p', 'q')} <= 53e-5)"
 
 
 @query("radius_graph", f"WITH {GRAPH_SQL} SELECT a, b, round(d * 111e3, 3) AS m FROM gr")
 def _(t):
-    return radius_graph(t.fx_poi, "poi_id", 13e-5).select("a", "b", F.round(F.col("d") * 111e3, 3).alias("m"))
+    return radius_graph(t.fx_poi, "poi_id", 53e-5).select("a", "b", F.round(F.col("d") * 111e3, 3).alias("m"))
 
 
 def poi_regions(poi: DataFrame, radius: float) -> DataFrame:
@@ -170,7 +170,7 @@ REGIONS_SQL = f"{GRAPH_SQL}, l AS (SELECT a, b FROM gr UNION ALL SELECT b, a FRO
 
 @query("poi_regions", f"WITH RECURSIVE {REGIONS_SQL} SELECT scene, poi_id, region FROM rg")
 def _(t):
-    return poi_regions(t.fx_poi, 13e-5).select("scene", "poi_id", "region")
+    return poi_regions(t.fx_poi, 53e-5).select("scene", "poi_id", "region")
 
 
 def merge_small_clusters(points: DataFrame, label: str, least: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _(t):
 
 @query("merge_small_poi_regions", f"WITH RECURSIVE {REGIONS_SQL}, {merge_sql('rg', 'region', 3)} SELECT scene, poi_id, CAST(dense_rank() OVER (PARTITION BY rg.scene ORDER BY coalesce(to_label, region)) - 1 AS INT) AS region FROM rg LEFT JOIN mv ON mv.scene = rg.scene AND mv.label = rg.region".replace("SELECT scene, poi_id, CAST", "SELECT rg.scene, rg.poi_id, CAST"))
 def _(t):
-    merged = merge_small_clusters(poi_regions(t.fx_poi, 13e-5), "region", 3)
+    merged = merge_small_clusters(poi_regions(t.fx_poi, 53e-5), "region", 3)
     names = merged.select("scene", "region").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("scene").orderBy("region")) - 1)
     return merged.join(names, ["scene", "region"]).select("scene", "poi_id", F.col("_n").alias("region"))
 
