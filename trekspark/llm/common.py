@@ -1,7 +1,13 @@
-"""Tables by name; stored tables and connected components come from the library."""
+"""Tables by name, and memory of Python workers; stored tables and connected components come from the library."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from trekspark.graph import components, discard, shared_folder, stored  # noqa: F401
@@ -9,3 +15,18 @@ from trekspark.graph import components, discard, shared_folder, stored  # noqa:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def gives_memory_back(run: Callable) -> Callable:
+    """A function for mapInPandas after whose last batch free memory goes back to the system: Spark
+    keeps the worker for later tasks, and what one stage's texts took would add to the next one's."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekspark.llm.common import read_table
+from trekspark.llm.common import gives_memory_back, read_table
 
 CAPACITY = 2048
 END_ID = 1
@@ -189,6 +189,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     pass through. An empty table gives an empty result; other columns of ``docs`` are not read.
     """
 
+    @gives_memory_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary)
         made = TaskContext.get().partitionId() << 36

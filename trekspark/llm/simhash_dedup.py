@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekspark.llm.common import components, read_table, stored
+from trekspark.llm.common import components, gives_memory_back, read_table, stored
 
 BITS = 64
 TABLE_BITS = 16  # buckets of the count table of one partition
@@ -43,6 +43,7 @@ def signed(value: int) -> int:
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; null and empty texts have fingerprint 0."""
 
+    @gives_memory_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["fp"] = np.fromiter((signed(fingerprint(t, words_per_shingle)) for t in batch.pop("text")), "i8", len(batch))
@@ -148,6 +149,7 @@ def links(distinct: DataFrame, radius: int = 2, parts: int = 3) -> DataFrame:
     shared = distinct.sparkSession.sparkContext.broadcast(table)
     whole = flips(BITS, radius)
 
+    @gives_memory_back
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = batch.fp.to_numpy().view(np.uint64)
@@ -155,6 +157,7 @@ def links(distinct: DataFrame, radius: int = 2, parts: int = 3) -> DataFrame:
                 v = part_value(fp, groups[k]) if k < parts else fp
                 yield pd.DataFrame({"part": np.full(len(fp), k, np.int32), "value": v.view(np.int64), "y": fp.view(np.int64)})
 
+    @gives_memory_back
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
         for batch in batches:

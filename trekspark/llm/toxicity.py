@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekspark.llm.common import read_table
+from trekspark.llm.common import gives_memory_back, read_table
 
 MAX_LABELLED = 8000  # documents that the classifier is fitted on, half of either label
 DIMENSIONS = 1 << 18
@@ -129,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     kind, the model scores every document 0.
     """
 
+    @gives_memory_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -177,6 +178,7 @@ def score(docs: DataFrame, model: NoisyOrModel, threshold: float = THRESHOLD) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")))
 
+    @gives_memory_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, float] = {}
         for batch in batches:
@@ -191,6 +193,7 @@ def offending_sentences(docs: DataFrame, model: NoisyOrModel, least: float = 0.5
     """(doc_id, sentence, start, end, score, text) of each sentence whose own score is at least ``least``; offsets in characters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @gives_memory_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, float] = {}
         for batch in batches:
