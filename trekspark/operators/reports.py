@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekspark.operators.expressions import share_map
-from trekspark.operators.trajectory import compress_sequence
+from trekspark.operators.expressions import route_type, share_map
+from trekspark.operators.trajectory import NEAREST_SQL, compress_sequence, nearest_centroid, sequences
 from trekspark.plans.registry import query
 
 
@@ -73,3 +73,29 @@ def _(t):
     mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("mae_min")))
     s = t.fx_res.groupBy("target").agg(mean("full").alias("a"), mean("no_slope").alias("b"))
     return s.select("target", F.round(F.col("a") / F.col("b"), 5).alias("ratio"), F.round(F.col("a") - F.col("b"), 5).alias("gap"))
+
+
+def named_routes(visits: DataFrame) -> DataFrame:
+    """(track_id, kind, name): the route type of each track's region sequence, and its first ten regions
+    where they take fewer than 80 characters, else the type alone."""
+    ends = visits.groupBy("track_id").agg(F.min_by("lat", F.struct("t_s", "event_id")).alias("_a"), F.max_by("lat", F.struct("t_s", "event_id")).alias("_z"))
+    kinds = sequences(visits).join(ends, "track_id").withColumn("kind", route_type("seq", "_a", "_z"))
+    regions = F.array_join(F.transform(F.slice("seq", 1, 10), lambda x: x.cast("string")), "-")
+    return kinds.select("track_id", "kind", F.when(F.length(regions) < 80, F.concat_ws(":", "kind", regions)).otherwise(F.col("kind")).alias("name"))
+
+
+@query("route_type", f"WITH {NEAREST_SQL.format(src='fx_p')}, c AS (SELECT *, lag(region_id) OVER (PARTITION BY track_id ORDER BY t_s, event_id) AS b FROM nc), q AS (SELECT track_id, list(region_id ORDER BY t_s, event_id) AS seq FROM c WHERE b IS NULL OR b <> region_id GROUP BY track_id), e AS (SELECT track_id, arg_min(lat, (t_s, event_id)) AS a, arg_max(lat, (t_s, event_id)) AS z FROM nc GROUP BY track_id), k AS (SELECT track_id, CASE WHEN len(seq) <= 2 THEN 'short' WHEN seq[1] = seq[-1] THEN 'loop' WHEN z > a THEN 'north' ELSE 'south' END AS kind, array_to_string(seq[1:10], '-') AS r FROM q JOIN e USING (track_id)) SELECT track_id, kind, CASE WHEN length(r) < 80 THEN kind || ':' || r ELSE kind END AS name FROM k")
+def _(t):
+    return named_routes(nearest_centroid(t.fx_p, t.fx_c))
+
+
+def dem_tiles(points: DataFrame, keys: list[str]) -> DataFrame:
+    """The one-degree tiles (lat0, lon0: south-west corners) that the bounding boxes of the groups of ``keys`` cover, once each."""
+    low, high = (lambda c: F.floor(F.min(c))), (lambda c: F.floor(F.max(c)))
+    box = points.groupBy(*keys).agg(F.sequence(low("lat"), high("lat")).alias("_a"), F.sequence(low("lon"), high("lon")).alias("_o"))
+    return box.select(F.explode("_a").alias("lat0"), "_o").select("lat0", F.explode("_o").alias("lon0")).distinct()
+
+
+@query("dem_tiles_for_bbox", "WITH b AS (SELECT track_id, CAST(floor(min(lat)) AS BIGINT) AS a1, CAST(floor(max(lat)) AS BIGINT) AS a2, CAST(floor(min(lon)) AS BIGINT) AS o1, CAST(floor(max(lon)) AS BIGINT) AS o2 FROM fx_p GROUP BY track_id), l AS (SELECT unnest(range(a1, a2 + 1)) AS lat0, o1, o2 FROM b) SELECT DISTINCT lat0, lon0 FROM (SELECT lat0, unnest(range(o1, o2 + 1)) AS lon0 FROM l)")
+def _(t):
+    return dem_tiles(t.fx_p, ["track_id"])
