@@ -99,6 +99,26 @@ def test_lines_match_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in out.values() if r.text)
 
 
+def test_lines_match_brute_force_on_edit_similarity_alone(spark):
+    r = random.Random(8)
+    vocabulary = words(7, 40).split()
+    lines = []
+    for size in (5, 6, 9, 10, 14, 20, 25, 40, 90):
+        for _ in range(5):
+            line = r.choices(vocabulary, k=size)
+            lines.append(line)
+            for edits in (1, size // 5, size // 5 + 1):
+                near = list(line)
+                for at in sorted(r.sample(range(size), edits), reverse=True):
+                    near[at : at + 1] = r.choice([[], ["other"], [near[at], "more"]])
+                lines.append(near)
+    r.shuffle(lines)
+    lines = [x for x in lines if len(x) >= 5]
+    root = groups_of(len(lines), lambda a, b: line_dedup.similar([w.encode() for w in lines[a]], [w.encode() for w in lines[b]]))
+    got = line_dedup.line_groups(docs_of(spark, [" ".join(x) for x in lines])).orderBy("doc_id").collect()
+    assert [r.group_doc_id for r in got] == root
+
+
 def test_edit_distance_matches_dynamic_programming():
     r = random.Random(3)
     for _ in range(200):
