@@ -119,6 +119,13 @@ def test_lines_match_brute_force_on_edit_similarity_alone(spark):
     assert [r.group_doc_id for r in got] == root
 
 
+def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
+    texts = ["Home\n\nRead more", "home!\nread more\n---", "---\none two three four five", "one two three four", "今日は天気がとても良い", "今日は天気がとても悪い", "まったく別の文です"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): (r.group_doc_id, r.group_line_no) for r in line_dedup.op1_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): (0, 0), (0, 2): (0, 2), (1, 0): (0, 0), (1, 1): (0, 2), (1, 2): (1, 2), (2, 0): (1, 2), (2, 1): (2, 1), (3, 0): (2, 1), (4, 0): (4, 0), (5, 0): (4, 0), (6, 0): (6, 0)}
+
+
 def test_edit_distance_matches_dynamic_programming():
     r = random.Random(3)
     for _ in range(200):

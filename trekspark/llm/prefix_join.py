@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekspark.llm.common import components, stored
@@ -13,14 +13,18 @@ from trekspark.llm.common import components, stored
 def linked(sigs: DataFrame, may: Callable, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (a, b) whose connected components are those of all similar pairs.
 
-    ``sigs`` (gram, key, more columns): similar keys share a gram. ``may(x, y)`` is a condition on two structs of
+    ``sigs`` (gram, hot, key, more columns): similar keys share a gram; ``hot``, which follows from the gram, marks those
+    that many keys may have, whose keys are not dealt to one task. ``may(x, y)`` is a condition on two structs of
     (key, more columns) that no similar pair fails; ``verified`` takes pairs (a, b) and keeps the similar ones.
     Each key is first compared with the smallest key of its grams, which links large groups in linear work; then all
     pairs that share a gram and are not yet in one component are compared, so no link is lost.
     """
-    one = F.struct(*(c for c in sigs.columns if c != "gram")).alias("x")
-    stars = sigs.select("gram", one).groupBy("gram").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(sigs.select("gram", one).join(stars, "gram"))
+    keyed = sigs.select("gram", "hot", F.struct(*(c for c in sigs.columns if c not in ("gram", "hot"))).alias("x"))
+    by_gram = Window.partitionBy("gram")
+    cold = keyed.where("not hot").select("gram", "x", F.min("x").over(by_gram).alias("y"), F.count("*").over(by_gram).alias("n")).where("n > 1")
+    hot = keyed.where("hot").select("gram", "x")
+    stars = hot.groupBy("gram").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1")
+    shared = stored(cold.unionByName(hot.join(stars, "gram")))
     star = shared.where(F.col("x.key") != F.col("y.key")).where(may(F.col("x"), F.col("y"))).select(F.col("y.key").alias("a"), F.col("x.key").alias("b")).distinct()
     first = stored(verified(star))
     groups = stored(components(first))
