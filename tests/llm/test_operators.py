@@ -67,6 +67,30 @@ def test_simhash_matches_brute_force(spark, corpus):
     assert simhash_dedup.keep_one(docs_of(spark, corpus)).count() == len({r.component_id for r in got})
 
 
+def test_pipeline_stage_keeps_one_of_similar_documents(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    texts = [None, "", "one two", "One  two", "one three"]
+    for k, size in enumerate((12, 30, 60, 200, 200, 500)):
+        base = words(50 + k, size).split()
+        texts.append(" ".join(base))
+        for changes in (1, max(1, size // 60), size // 40 + 1, size // 20 + 1):
+            near = list(base)
+            for at in r.sample(range(size), changes):
+                near[at] = "changed"
+            texts.append(" ".join(near))
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = groups_of(len(texts), lambda a, b: sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert {x.doc_id for x in stage(spark, docs_of(spark, texts), "").collect()} == {*root}
+
+
 def test_simhash_links_of_crowded_values(spark):
     r = random.Random(1)
     centre = r.getrandbits(64)

@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekspark.llm.common import components, stored
+from trekspark.llm.common import components, discard, gives_memory_back, stored
+
+COUNT_BITS = 20  # slots of the table of counts
+
+
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def frequent(items: DataFrame, column: str, grams: Callable[[list], Iterator[np.ndarray]], sample: int) -> Broadcast:
+    """Counts (of 16 or more, else 0) by slot of the ``grams`` of about ``sample`` rows of ``items`` (key, column):
+    a table of fixed size (4 MB) that puts rare grams first. Any order is right, this one makes groups small."""
+    every = max(1, items.count() // sample)
+
+    @gives_memory_back
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for some in grams(list(batch[column])):
+                total += np.bincount(slots(some), minlength=1 << COUNT_BITS)
+        slot = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slot.astype(np.int32), "n": total[slot]})
+
+    seen = items.where(F.pmod("key", F.lit(every)) == 0).select(column).mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 16").toPandas()
+    table = np.zeros(1 << COUNT_BITS, np.uint32)
+    table[seen.slot] = seen.n
+    return items.sparkSession.sparkContext.broadcast(table)
 
 
 def linked(sigs: DataFrame, may: Callable, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -31,6 +60,8 @@ def linked(sigs: DataFrame, may: Callable, verified: Callable[[DataFrame], DataF
     rooted = shared.select("gram", "x", F.col("x.key").alias("node")).join(groups, "node", "left").select("gram", "x", F.coalesce("component", "node").alias("root"))
     mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram")
     open_ = stored(rooted.join(mixed, "gram", "left_semi"))
+    discard(shared)
+    discard(groups)
     left, right = open_.select("gram", "x", F.col("root").alias("root_x")), open_.select("gram", F.col("x").alias("y"), F.col("root").alias("root_y"))
     apart = (F.col("root_x") < F.col("root_y")) & may(F.col("x"), F.col("y"))
     rest = left.alias("l").join(right.alias("r"), (F.col("l.gram") == F.col("r.gram")) & apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trekspark.llm.common import components, gives_memory_back, read_table, stored
+from trekspark.llm.prefix_join import frequent, linked, slots
 
 BITS = 64
 TABLE_BITS = 16  # buckets of the count table of one partition
@@ -229,6 +231,67 @@ def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
     return chosen.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; of the whole text where it is shorter."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - words_per_shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + words_per_shingle]), 42) for i in range(n)), "<u8", n))
+
+
+def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """Rows of ``docs``, one of each group of documents that are linked by a Jaccard similarity of shingles of
+    ``least`` or more (the smallest doc_id; of repeated rows of that id, one). Rows without an id stay.
+
+    Every such pair is found: of n shingles in one global order, the first n - least n + 1 hold one that
+    both documents have among theirs. Candidates are compared exactly. Null and empty texts are copies of each other.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+
+    @gives_memory_back
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["key"] = [signed(xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()))) for t in batch.text]
+            yield batch
+
+    keyed = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(keys, f"doc_id {kind}, text string, key long")
+    classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("first_id")))
+    texts = stored(keyed.select("key", "text").dropDuplicates(["key"]))
+    shared = frequent(texts, "text", lambda x: (shingle_set(t, words_per_shingle) for t in x), 5_000)
+
+    @gives_memory_back
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = shared.value
+        for batch in batches:
+            for key, text in zip(batch.key, batch.text):
+                have = shingle_set(text, words_per_shingle)
+                first = have[np.argsort(counts[slots(have)], kind="stable")][: len(have) - math.ceil(least * len(have) - 1e-9) + 1]
+                yield pd.DataFrame({"gram": first.view(np.int64), "hot": counts[slots(first)] > 0, "key": np.full(len(first), key, np.int64), "size": np.full(len(first), len(have), np.int32)})
+
+    @gives_memory_back
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[[jaccard(shingle_set(x, words_per_shingle), shingle_set(y, words_per_shingle)) >= least - 1e-9 for x, y in zip(batch.text_a, batch.text_b)], ["a", "b"]]
+
+    def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both / (len(x) + len(y) - both)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+        return both.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long")
+
+    def may(x: Column, y: Column) -> Column:
+        return F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * least - 1e-9
+
+    joined = components(linked(texts.mapInPandas(sign, "gram long, hot boolean, key long, size int"), may, verified))
+    rooted = classes.join(joined, classes.key == joined.node, "left").select("first_id", F.coalesce("component", "key").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first_id").alias("doc_id")).select("doc_id")
+    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")
