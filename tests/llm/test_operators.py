@@ -322,6 +322,11 @@ def test_url_rules_and_link_graph(spark):
     assert (got[6].host, got[6].path, got[7].host, got[8].path) == ("", "", "", "")
 
 
+def test_warc_links_of_scripts_and_noscript():
+    page = "<script src='/a.js'>x = '<a href=/no>'</script><!-- <a href=/no> --><style>a::after { content: '<img src=/no>' }</style><noscript><img src=/b.png></noscript><a href=/c>c</a>"
+    assert warc.page_metadata(page)["links"] == [{"path": "script", "url": "/a.js"}, {"path": "img", "url": "/b.png"}, {"path": "a", "url": "/c"}]
+
+
 def test_warc_round_trip(spark):
     page = "<html><head><title>T &amp; t</title><style>p{}</style></head><body><p>One <b>two</b><p>three<script>x</script><a href='/l?a=1&amp;b=2'>four</a></body></html>"
     pages = spark.createDataFrame([(1, "http://h/", page, 0), (2, None, None, 0), (3, "http://e/", "", 0)], "page_id long, url string, html string, block int")

@@ -20,6 +20,7 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: th
 FIELDS = "record_id string, warc_type string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, block binary"
 
 _DROPPED = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
+_NO_LINKS = re.compile(r"<!--.*?(?:-->|$)|(<(script|style)\b[^>]*>).*?(?:</\2\s*>|$)", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul|title|body|head|html)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
@@ -49,7 +50,7 @@ def page_metadata(page: str) -> dict:
     for m in _META.finditer(page):
         pairs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[1])}
         metas.append(pairs)
-    links = [{"path": f"{m[1].lower()}", "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in _LINK.finditer(_DROPPED.sub(" ", page))]
+    links = [{"path": f"{m[1].lower()}", "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in _LINK.finditer(_NO_LINKS.sub(r"\1 ", page))]
     return {"title": " ".join(html.unescape(title[1]).split()) if title else None, "metas": metas, "links": links}
 
 
