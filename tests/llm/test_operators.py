@@ -101,46 +101,66 @@ def test_simhash_links_of_crowded_values(spark):
     assert got == want
 
 
-def test_lines_match_brute_force(spark):
-    one = [words(k, 20) for k in range(8)]
-    texts = ["\n".join([one[0], one[1], "ab cd"]), "\n".join([one[1].upper() + "!", one[2]]), one[2].replace(one[2].split()[3], "zz"), None, "", "\n".join(one), words(5, 3000), one[3] + " " + one[3]]
-    rows = []
-    for i, t in enumerate(texts):
-        for n, w in enumerate(line_dedup.normalised_lines(t or "")):
-            if len(w) >= 5:
-                rows.append((i, n, w))
-    sims = line_dedup.simhashes([w for *_, w in rows])
+def plain_edit_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next_row(row, i, x, b)
+    return 1 - row[-1] / max(len(a), len(b))
 
-    def linked(a, b):
-        x, y = rows[a][2], rows[b][2]
-        return x == y or (int(sims[a] ^ sims[b]) % (1 << 64)).bit_count() <= 3 and line_dedup.similar(x, y)
 
-    root = groups_of(len(rows), linked)
-    got = line_dedup.line_groups(docs_of(spark, texts)).orderBy("doc_id", "line_no").collect()
-    assert [(r.doc_id, r.line_no, r.group_doc_id, r.group_line_no) for r in got] == [(d, n, *rows[root[k]][:2]) for k, (d, n, _) in enumerate(rows)]
-    out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs_of(spark, texts)).collect()}
-    assert len(out) == len(texts) and out[0].text == texts[0] and out[3].text is None and one[1] not in out[5].text
-    assert all(r.n_chars == len(r.text) for r in out.values() if r.text)
-
-
-def test_lines_match_brute_force_on_edit_similarity_alone(spark):
+def edited_lines(sizes, repeats, vocabulary_words=400):
+    """Lines and copies of them with 1 to a fifth of their words, and one more, replaced, dropped or added."""
     r = random.Random(8)
-    vocabulary = words(7, 40).split()
+    vocabulary = words(7, vocabulary_words).split()
     lines = []
-    for size in (5, 6, 9, 10, 14, 20, 25, 40, 90):
-        for _ in range(5):
+    for size in sizes:
+        for _ in range(repeats):
             line = r.choices(vocabulary, k=size)
             lines.append(line)
-            for edits in (1, size // 5, size // 5 + 1):
+            for edits in (1, size // 10 + 1, size // 5, size // 5 + 1):
                 near = list(line)
                 for at in sorted(r.sample(range(size), edits), reverse=True):
                     near[at : at + 1] = r.choice([[], ["other"], [near[at], "more"]])
                 lines.append(near)
     r.shuffle(lines)
-    lines = [x for x in lines if len(x) >= 5]
-    root = groups_of(len(lines), lambda a, b: line_dedup.similar([w.encode() for w in lines[a]], [w.encode() for w in lines[b]]))
-    got = line_dedup.line_groups(docs_of(spark, [" ".join(x) for x in lines])).orderBy("doc_id").collect()
-    assert [r.group_doc_id for r in got] == root
+    return [x for x in lines if x]
+
+
+def test_groups_of_lines_hold_the_pairs_of_edit_similarity(spark):
+    lines = edited_lines((5, 6, 9, 10, 14, 20, 25, 40, 90), 6)
+    got = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(docs_of(spark, [" ".join(x) for x in lines])).collect()}
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if plain_edit_similarity(lines[a], lines[b]) >= 0.8 - 1e-9]
+    together = [got[a] == got[b] for a, b in pairs]
+    assert len(pairs) > 150 and sum(together) >= 0.95 * len(pairs)
+    root = groups_of(len(lines), lambda a, b: plain_edit_similarity(lines[a], lines[b]) >= 0.8 - 1e-9)
+    assert all(root[a] == root[b] for a, b in got.items())
+
+
+def test_lines_that_stay(spark):
+    one = [words(k, 20) for k in range(8)]
+    texts = ["\n".join([one[0], one[1], "ab cd"]), "\n".join([one[1].upper() + "!", one[2]]), one[2].replace(one[2].split()[3], "zz"), None, "", "\n".join(one), words(5, 3000), one[3] + " " + one[3]]
+    got = {(r.doc_id, r.line_no): (r.group_doc_id, r.group_line_no, r.kept) for r in line_dedup.line_groups(docs_of(spark, texts)).collect()}
+    assert got[1, 0] == got[5, 1] == (0, 1, False) and got[2, 0] == got[5, 2] == (1, 1, False) and got[6, 0] == (6, 0, True) and got[7, 0] == (7, 0, True)
+    out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs_of(spark, texts)).collect()}
+    assert len(out) == len(texts) and out[0].text == texts[0] and out[3].text is None and one[1] not in out[5].text
+    assert all(r.n_chars == len(r.text) for r in out.values() if r.text)
+
+
+def test_repeated_rows_and_null_ids_of_lines(spark):
+    rows = [(1, "one two\nthree"), (1, "one two\nthree"), (None, "one two"), (None, "one two"), ((1 << 53) + 1, "other line"), ((1 << 53) + 3, "other line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.line_no, r.kept) for r in line_dedup.line_groups(docs).collect())
+    assert got == [(1, 0, False), (1, 0, True), (1, 1, False), (1, 1, True), ((1 << 53) + 1, 0, True), ((1 << 53) + 3, 0, False)]
+    out = sorted(((r.doc_id or 0, r.text) for r in line_dedup.drop_repeated_lines(docs).collect()))
+    assert out == [(0, "one two"), (0, "one two"), (1, ""), (1, "one two\nthree"), ((1 << 53) + 1, "other line"), ((1 << 53) + 3, "")]
+
+
+def test_simhashes_of_lines_match_a_plain_count():
+    lines = [words(k, n).encode().split() for k, n in enumerate((1, 2, 3, 50, 254, 255, 256, 1000))]
+    hashed = [[xxhash.xxh3_64_intdigest(w) for w in x] for x in lines]
+    want = [sum((2 * sum(h >> b & 1 for h in x) > len(x)) << b for b in range(64)) for x in hashed]
+    got = line_dedup.simhashes(np.array([h for x in hashed for h in x], "<u8"), np.array([len(x) for x in lines], np.int32))
+    assert [int(g) % (1 << 64) for g in got] == want
 
 
 def test_short_lines_and_scripts_without_spaces(spark, tmp_path):

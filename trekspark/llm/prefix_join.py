@@ -39,30 +39,42 @@ def frequent(items: DataFrame, column: str, grams: Callable[[list], Iterator[np.
     return items.sparkSession.sparkContext.broadcast(table)
 
 
-def linked(sigs: DataFrame, may: Callable, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (a, b) whose connected components are those of all similar pairs.
-
-    ``sigs`` (gram, hot, key, more columns): similar keys share a gram; ``hot``, which follows from the gram, marks those
-    that many keys may have, whose keys are not dealt to one task. ``may(x, y)`` is a condition on two structs of
-    (key, more columns) that no similar pair fails; ``verified`` takes pairs (a, b) and keeps the similar ones.
-    Each key is first compared with the smallest key of its grams, which links large groups in linear work; then all
-    pairs that share a gram and are not yet in one component are compared, so no link is lost.
+def linked(sigs: DataFrame, may: Callable, texts: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) whose connected components are those of all similar pairs that share a gram.
+
+    ``sigs`` (gram, hot, key, more columns): ``hot``, which follows from the gram, marks those that many keys may have,
+    whose keys are not dealt to one task; repeated rows count once. ``may(x, y)`` is a condition on two structs of
+    (key, more columns) that no similar pair fails; ``texts`` gives one row of each of some keys; ``verified`` takes pairs
+    (a, b) and such rows, and keeps the similar ones. Each key is first compared with the smallest key of its grams,
+    which links large groups in linear work; then all pairs that share a gram and are not yet in one component are
+    compared, so no link is lost.
     """
-    keyed = sigs.select("gram", "hot", F.struct(*(c for c in sigs.columns if c not in ("gram", "hot"))).alias("x"))
+    keyed = F.struct(*(c for c in sigs.columns if c not in ("gram", "hot"))).alias("x")
     by_gram = Window.partitionBy("gram")
-    cold = keyed.where("not hot").select("gram", "x", F.min("x").over(by_gram).alias("y"), F.count("*").over(by_gram).alias("n")).where("n > 1")
-    hot = keyed.where("hot").select("gram", "x")
+    cold = sigs.where("not hot").select("gram", keyed).repartition("gram").distinct()
+    cold = cold.select("gram", "x", F.min("x").over(by_gram).alias("y"), F.count("*").over(by_gram).alias("n")).where("n > 1")
+    hot = sigs.where("hot").select("gram", keyed).distinct()
     stars = hot.groupBy("gram").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1")
     shared = stored(cold.unionByName(hot.join(stars, "gram")))
     star = shared.where(F.col("x.key") != F.col("y.key")).where(may(F.col("x"), F.col("y"))).select(F.col("y.key").alias("a"), F.col("x.key").alias("b")).distinct()
-    first = stored(verified(star))
+    star = stored(star)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        of_key = stored(texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+        found = stored(verified(pairs, of_key))
+        discard(of_key)
+        return found
+
+    first = checked(star)
     groups = stored(components(first))
-    rooted = shared.select("gram", "x", F.col("x.key").alias("node")).join(groups, "node", "left").select("gram", "x", F.coalesce("component", "node").alias("root"))
+    rooted = shared.where("n > 2").select("gram", "x", F.col("x.key").alias("node")).join(groups, "node", "left").select("gram", "x", F.coalesce("component", "node").alias("root"))
     mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram")
     open_ = stored(rooted.join(mixed, "gram", "left_semi"))
-    discard(shared)
-    discard(groups)
     left, right = open_.select("gram", "x", F.col("root").alias("root_x")), open_.select("gram", F.col("x").alias("y"), F.col("root").alias("root_y"))
     apart = (F.col("root_x") < F.col("root_y")) & may(F.col("x"), F.col("y"))
     rest = left.alias("l").join(right.alias("r"), (F.col("l.gram") == F.col("r.gram")) & apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    return first.unionByName(stored(verified(rest)))
+    rest = stored(rest.join(star, ["a", "b"], "left_anti"))
+    out = stored(first.unionByName(checked(rest)))
+    for table in (shared, star, first, groups, open_, rest):
+        discard(table)
+    return out

@@ -278,14 +278,14 @@ def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both / (len(x) + len(y) - both)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    def verified(pairs: DataFrame, of_key: DataFrame) -> DataFrame:
+        both = pairs.join(of_key.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(of_key.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long")
 
     def may(x: Column, y: Column) -> Column:
         return F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * least - 1e-9
 
-    joined = components(linked(texts.mapInPandas(sign, "gram long, hot boolean, key long, size int"), may, verified))
+    joined = components(linked(texts.mapInPandas(sign, "gram long, hot boolean, key long, size int"), may, lambda keys: texts.join(keys, "key", "left_semi"), verified))
     rooted = classes.join(joined, classes.key == joined.node, "left").select("first_id", F.coalesce("component", "key").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first_id").alias("doc_id")).select("doc_id")
     chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
