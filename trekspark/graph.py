@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir; one of our own only where it is unset and all tasks run on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -22,7 +24,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
