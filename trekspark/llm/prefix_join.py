@@ -49,11 +49,12 @@ def linked(sigs: DataFrame, may: Callable, texts: Callable[[DataFrame], DataFram
     which links large groups in linear work; then all pairs that share a gram and are not yet in one component are
     compared, so no link is lost.
     """
-    keyed = F.struct(*(c for c in sigs.columns if c not in ("gram", "hot"))).alias("x")
+    columns = [c for c in sigs.columns if c not in ("gram", "hot")]
+    keyed = F.struct(*columns).alias("x")
     by_gram = Window.partitionBy("gram")
-    cold = sigs.where("not hot").select("gram", keyed).repartition("gram").distinct()
+    cold = sigs.where("not hot").select("gram", *columns).repartition("gram").distinct().select("gram", keyed)
     cold = cold.select("gram", "x", F.min("x").over(by_gram).alias("y"), F.count("*").over(by_gram).alias("n")).where("n > 1")
-    hot = sigs.where("hot").select("gram", keyed).distinct()
+    hot = sigs.where("hot").select("gram", *columns).distinct().select("gram", keyed)
     stars = hot.groupBy("gram").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1")
     shared = stored(cold.unionByName(hot.join(stars, "gram")))
     star = shared.where(F.col("x.key") != F.col("y.key")).where(may(F.col("x"), F.col("y"))).select(F.col("y.key").alias("a"), F.col("x.key").alias("b")).distinct()
@@ -74,7 +75,7 @@ def linked(sigs: DataFrame, may: Callable, texts: Callable[[DataFrame], DataFram
     apart = (F.col("root_x") < F.col("root_y")) & may(F.col("x"), F.col("y"))
     rest = left.alias("l").join(right.alias("r"), (F.col("l.gram") == F.col("r.gram")) & apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     rest = stored(rest.join(star, ["a", "b"], "left_anti"))
-    out = stored(first.unionByName(checked(rest)))
+    out = stored(groups.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(checked(rest)))
     for table in (shared, star, first, groups, open_, rest):
         discard(table)
     return out
