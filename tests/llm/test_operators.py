@@ -156,8 +156,7 @@ def test_repeated_rows_and_null_ids_of_lines(spark):
 
 
 def test_simhashes_of_lines_match_a_plain_count():
-    lines = [words(k, n).encode().split() for k, n in enumerate((1, 2, 3, 50, 254, 255, 256, 1000))]
-    hashed = [[xxhash.xxh3_64_intdigest(w) for w in x] for x in lines]
+    hashed = [[xxhash.xxh3_64_intdigest(w) for w in words(k, n).split()] for k, n in enumerate((1, 2, 3, 50, 254, 255, 256, 1000))]
     want = [sum((2 * sum(h >> b & 1 for h in x) > len(x)) << b for b in range(64)) for x in hashed]
     got = line_dedup.simhashes(np.array([h for x in hashed for h in x], "<u8"), np.array([len(x) for x in lines], np.int32))
     assert [int(g) % (1 << 64) for g in got] == want

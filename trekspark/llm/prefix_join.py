@@ -19,9 +19,10 @@ def slots(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def frequent(items: DataFrame, column: str, grams: Callable[[list], Iterator[np.ndarray]], sample: int) -> Broadcast:
+def frequent(items: DataFrame, column: str, grams: Callable[[list], Iterator[np.ndarray]], sample: int, levels: tuple = ()) -> Broadcast:
     """Counts (of 16 or more, else 0) by slot of the ``grams`` of about ``sample`` rows of ``items`` (key, column):
-    a table of fixed size (4 MB) that puts rare grams first. Any order is right, this one makes groups small."""
+    a table of fixed size (4 MB) that puts rare grams first. Any order is right, this one makes groups small.
+    With ``levels``, how many of them a count reaches stands in its place."""
     every = max(1, items.count() // sample)
 
     @gives_memory_back
@@ -33,9 +34,9 @@ def frequent(items: DataFrame, column: str, grams: Callable[[list], Iterator[np.
         slot = np.flatnonzero(total)
         yield pd.DataFrame({"slot": slot.astype(np.int32), "n": total[slot]})
 
-    seen = items.where(F.pmod("key", F.lit(every)) == 0).select(column).mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 16").toPandas()
+    seen = items.where(F.pmod("key", F.lit(every)) == 0).select(column).mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min(levels, default=16)).toPandas()
     table = np.zeros(1 << COUNT_BITS, np.uint32)
-    table[seen.slot] = seen.n
+    table[seen.slot] = np.searchsorted(levels, seen.n, "right") if levels else seen.n
     return items.sparkSession.sparkContext.broadcast(table)
 
 
@@ -59,14 +60,10 @@ def linked(sigs: DataFrame, may: Callable, texts: Callable[[DataFrame], DataFram
     shared = stored(cold.unionByName(hot.join(stars, "gram")))
     star = shared.where(F.col("x.key") != F.col("y.key")).where(may(F.col("x"), F.col("y"))).select(F.col("y.key").alias("a"), F.col("x.key").alias("b")).distinct()
     star = stored(star)
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        of_key = stored(texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-        found = stored(verified(pairs, of_key))
-        discard(of_key)
-        return found
-
-    first = checked(star)
+    # of a gram with two keys the star is the only pair; keys of others may be compared later
+    more = shared.where("n > 2").select(F.col("x.key").alias("key"))
+    of_key = stored(texts(star.select(F.explode(F.array("a", "b")).alias("key")).unionByName(more).distinct()))
+    first = stored(verified(star, of_key))
     groups = stored(components(first))
     rooted = shared.where("n > 2").select("gram", "x", F.col("x.key").alias("node")).join(groups, "node", "left").select("gram", "x", F.coalesce("component", "node").alias("root"))
     mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram")
@@ -74,8 +71,9 @@ def linked(sigs: DataFrame, may: Callable, texts: Callable[[DataFrame], DataFram
     left, right = open_.select("gram", "x", F.col("root").alias("root_x")), open_.select("gram", F.col("x").alias("y"), F.col("root").alias("root_y"))
     apart = (F.col("root_x") < F.col("root_y")) & may(F.col("x"), F.col("y"))
     rest = left.alias("l").join(right.alias("r"), (F.col("l.gram") == F.col("r.gram")) & apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"))
-    out = stored(groups.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(checked(rest)))
-    for table in (shared, star, first, groups, open_, rest):
+    rest = rest.join(star, ["a", "b"], "left_anti")
+    discard(shared)
+    out = stored(groups.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(verified(rest, of_key)))
+    for table in (star, of_key, first, groups, open_):
         discard(table)
     return out
