@@ -6,7 +6,6 @@ import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +16,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array], drop: tuple = ()) -> pa.RecordBatch:
+    """A batch with more columns; those that were there stay as they are, so ids of any type keep their value."""
+    kept = [c for c in batch.schema.names if c not in drop]
+    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *new.values()], names=[*kept, *new])
+
+
 def gives_memory_back(run: Callable) -> Callable:
-    """A function for mapInPandas after whose last batch free memory goes back to the system: Spark
+    """A function for mapInPandas or mapInArrow after whose last batch free memory goes back to the system: Spark
     keeps the worker for later tasks, and what one stage's texts took would add to the next one's."""
 
     @wraps(run)
-    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it

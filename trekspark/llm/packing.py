@@ -8,17 +8,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trekspark.llm.common import gives_memory_back, read_table
 
 CAPACITY = 2048
 END_ID = 1
 SHARD_TOKENS = 2_000_000  # that are packed together in a task
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 400_000  # that a worker remembers at a time; the older half goes when there are more
 VOCABULARY = "word_bpe_49k.json"
 
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -27,8 +26,9 @@ _STEM = re.compile(r"([a-zA-Z]+)([.,]*)")
 
 
 class ChunkEncoder:
-    """Token ids of texts, chunk by chunk between white space: the vocabulary's pre-tokenizer drops
-    white space and never joins across it, so each chunk's ids stand alone and can be remembered."""
+    """Token ids of texts, chunk by chunk between white space: where the vocabulary's pre-tokenizer drops
+    white space and never joins across it, each chunk's ids stand alone and can be remembered. Other
+    vocabularies encode whole texts."""
 
     def __init__(self, path: str | None = None) -> None:
         import os
@@ -41,26 +41,38 @@ class ChunkEncoder:
 
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not remembered. Chunks of ASCII letters, but for full stops and
-        commas at their end, go through the encoder as one text of stems, cut where a word ends."""
-        stems: dict[str, bytes] = {}
-        split: dict[str, tuple[str, str]] = {}
-        other = []
+        self.by_chunk = self._stands_alone()
+
+    def _stands_alone(self) -> bool:
+        """Whether lower-cased chunks between white space are encoded on their own, as far as probes tell."""
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        probes = ["Ab", "word", "don't", "x.", "\u00c9t\u00e9", "3.5", "...", "naming"]
+        joined = [encode(gap.join(probes)) for gap in (" ", "  ", "\n", "\t ", "\r\n", " \n\n")]
+        alone = [x for p in probes for x in encode(p)]
+        return self.ends.any() and all(x == alone for x in joined) and encode("WORD") == encode("word") and encode(" a ") == encode("a") and encode("ab.,") == encode("ab") + encode(".,")
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remember the ids of new chunks. Those of ASCII letters, but for full stops and commas at their end, go
+        through the encoder as one text, cut where a word ends; the rest one by one."""
+        found = self.memo
+        words, lone = [], []
         for c in chunks:
+            (words if c.isascii() and c.isalpha() else lone).append(c)
+        stems = []
+        for c in lone:
             m = _STEM.fullmatch(c)
-            if m:
-                split[c] = (m[1].lower(), m[2])
-            else:
-                other.append(c)
-        wanted = list({x for pair in split.values() for x in pair if x and x not in self.memo})
-        lone = [x for x in wanted if not x.isalpha()] + other
-        words = [x for x in wanted if x.isalpha()]
+            if m and m[2]:
+                stems.append((c, m[1], m[2]))
+        if stems:
+            cut = {c for c, _, _ in stems}
+            lone = [c for c in lone if c not in cut]
+            lone += [x for x in {m for *_, m in stems} if x not in found]
+            words += [x for x in {m for _, m, _ in stems}.difference(words) if x not in found]
         for first in range(0, len(words), 1000):
             some = words[first : first + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -68,23 +80,31 @@ class ChunkEncoder:
             if len(cuts) != len(some):
                 lone += some
                 continue
-            for w, a, b in zip(some, [0, *cuts[:-1]], cuts):
-                stems[w] = ids[a:b].tobytes()
-        for c, e in zip(lone, self.tokenizer.encode_batch_fast(lone, add_special_tokens=False) if lone else ()):
-            stems[c] = np.array(e.ids, "<u4").tobytes()
-        get = lambda x: stems[x] if x in stems else self.memo[x] if x else b""
-        found = {c: get(a) + get(b) for c, (a, b) in split.items()} | {c: stems[c] for c in other}
-        found |= stems
-        if len(self.memo) < MEMO_CHUNKS:
-            self.memo |= found
-        return found
+            data, at = ids.tobytes(), 0
+            for w, b in zip(some, (4 * cuts).tolist()):
+                found[w] = data[at:b]
+                at = b
+        if lone:
+            for c, e in zip(lone, self.tokenizer.encode_batch_fast(lone, add_special_tokens=False)):
+                found[c] = np.array(e.ids, "<u4").tobytes()
+        for c, a, b in stems:
+            found[c] = found[a] + found[b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_chunk:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         chunks = [_ASCII_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        known = self.memo
-        new = {c for row in chunks for c in row if c not in known}
-        learned = self.learn(new - {""}) | {"": b""} if new else {}
-        return [np.frombuffer(b"".join([known[c] if c in known else learned[c] for c in row]), "<u4") for row in chunks]
+        if len(self.memo) > MEMO_CHUNKS // 2:
+            self.memo, self.older = {"": b""}, self.memo
+        known, older = self.memo, self.older
+        new = set().union(*chunks).difference(known)
+        if older and new:
+            again = {c: older[c] for c in new if c in older}
+            known.update(again)
+            new.difference_update(again)
+        if new:
+            self.learn(list(new))
+        return [np.frombuffer(b"".join([known[c] for c in row]), "<u4") for row in chunks]
 
 
 _encoders: dict[str | None, ChunkEncoder] = {}
@@ -185,20 +205,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
 
     A document's ids are the vocabulary's, then ``end_id``; a null or empty text has that id alone.
     Each task packs its documents in shards of about ``shard_tokens`` ids, so nothing is shuffled and
-    a lost task gives the same pieces again. Repeated rows are packed as often as they occur; null ids
-    pass through. An empty table gives an empty result; other columns of ``docs`` are not read.
+    a lost task gives the same pieces again. Repeated rows are packed as often as they occur; ids of any
+    type and null ids pass through as they are. An empty table gives an empty result; other columns of ``docs`` are not read.
     """
 
     @gives_memory_back
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         made = TaskContext.get().partitionId() << 36
         names, ids, held = [], [], 0
         for batch in batches:
-            texts = batch.text.tolist()
-            for first in range(0, len(texts), 256):
-                for name, x in zip(batch.doc_id[first : first + 256], enc.encode([t or "" for t in texts[first : first + 256]])):
-                    names.append(name)
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                names.append(part.column(0))
+                for x in enc.encode([t or "" for t in part.column(1).to_pylist()]):
                     ids.append(np.append(x, np.uint32(end_id)))
                     held += len(ids[-1])
                 if held >= shard_tokens:
@@ -207,17 +227,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
         if names:
             yield rows(names, ids, made)
 
-    def rows(names: list, ids: list[np.ndarray], made: int) -> pd.DataFrame:
+    def rows(names: list[pa.Array], ids: list[np.ndarray], made: int) -> pa.RecordBatch:
         out = []
         for n, pieces in enumerate(pack_pieces([len(x) for x in ids], capacity)):
             offset = 0
             for doc, start, length in pieces:
-                out.append((names[doc], start, length, zlib.crc32(ids[doc][start : start + length].tobytes()), len(ids[doc]), made + n, offset))
+                out.append((doc, start, length, zlib.crc32(ids[doc][start : start + length]), len(ids[doc]), made + n, offset))
                 offset += length
-        return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        doc, *columns = zip(*out)
+        of_doc = pa.concat_arrays(names).take(pa.array(doc))
+        return pa.RecordBatch.from_arrays([of_doc, *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
