@@ -9,19 +9,21 @@ from trekspark.llm.common import discard, read_table, stored
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ROUNDS = 20
+ERROR = 1e-6  # that a score may be away from its fixed point
 THRESHOLD = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FIRST = r"(?s)^(?:(?!://).)*+://"  # up to the first :// and no further
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 
 
 def host_of(url: str) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or without ://."""
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
+    return F.translate(F.coalesce(F.regexp_extract(url, FIRST + r"([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
 
 
 def path_of(url: str) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """What follows the host up to ?, # or the end; empty for null or without ://."""
+    return F.coalesce(F.regexp_extract(url, FIRST + r"[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def rule_for(host: str, path: str, rules: tuple = RULES) -> Column:
@@ -41,25 +43,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", F.translate("to", UPPER, LOWER).alias("dst")).where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): the fixed point of score = seed + damping * (scores that arrive over edges), to
-    ``rounds`` rounds; each host deals its score over its edges by weight. Scores below 1e-6 stop spreading."""
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, error: float = ERROR) -> DataFrame:
+    """(host, score): the fixed point of score = seed + damping * (scores that arrive over edges), to within
+    ``error`` of each score; each host deals its score over its edges by weight.
+
+    The moves of a round shrink by ``damping`` at least in sum, so the rest after a round whose moves sum to m is at
+    most m damping / (1 - damping): rounds go on until that is ``error`` or less. Of ``seeds`` in sum S that takes
+    at most log(S / error (1 - damping)) / log(1 / damping) rounds. Empty seeds or edges take one.
+    """
     out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
     shares = stored(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
     now = stored(seeds.select("host", F.col("seed").alias("score")))
-    for _ in range(rounds):
-        arriving = now.where("score > 1e-6").join(shares, now.host == shares.src).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("arrives"))
-        new = stored(seeds.join(arriving, "host", "full").select("host", (F.coalesce("seed", F.lit(0.0)) + F.coalesce("arrives", F.lit(0.0))).alias("score")))
-        moved = new.join(now.select("host", F.col("score").alias("was")), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0]
+    while True:
+        arriving = now.join(shares, now.host == shares.src).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("arrives"))
+        new = stored(seeds.join(arriving, "host", "full").join(now.select("host", F.col("score").alias("was")), "host", "left").select("host", (F.coalesce("seed", F.lit(0.0)) + F.coalesce("arrives", F.lit(0.0))).alias("score"), F.coalesce("was", F.lit(0.0)).alias("was")))
+        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
         discard(now)
         now = new
-        if not moved or moved < 1e-6:
+        if moved * damping <= error * (1 - damping):
             break
     discard(shares)
-    return now
+    return now.select("host", "score")
 
 
-def judged(pages: DataFrame, rules: tuple = RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple = RULES, damping: float = DAMPING, error: float = ERROR, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, trust, distrust.
 
     The longest fitting rule decides. Other pages go by their host: the share of a host's pages that
@@ -72,9 +79,9 @@ def judged(pages: DataFrame, rules: tuple = RULES, damping: float = DAMPING, rou
     share = lambda action: F.sum(F.when(F.col("fit.action") == action, 1.0).otherwise(0.0)) / F.count("*")
     per_host = stored(rows.where("host != ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")))
     edges = stored(host_edges(pages))
-    trust = personalised_rank(edges, per_host.where("allowed > 0").select("host", F.col("allowed").alias("seed")), damping, rounds)
+    trust = personalised_rank(edges, per_host.where("allowed > 0").select("host", F.col("allowed").alias("seed")), damping, error)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(against, per_host.where("blocked > 0").select("host", F.col("blocked").alias("seed")), damping, rounds)
+    distrust = personalised_rank(against, per_host.where("blocked > 0").select("host", F.col("blocked").alias("seed")), damping, error)
     hosts = per_host.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
     both = rows.join(hosts, "host", "left").select("page_id", "host", "path", "fit", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     method = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
