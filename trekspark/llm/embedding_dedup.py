@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trekspark.llm.common import components, read_table, stored
+from trekspark.llm.common import components, discard, read_table, stored
 from trekspark.llm.topk_search import usable
 
 COSINE = 0.95
@@ -138,9 +138,8 @@ def _joined(classes: DataFrame, cosine: float, dimensions: int, sequence_rows: i
     """(class, others: linked vectors of other classes) and edges (a, b) of a spanning forest."""
     spark, eps = classes.sparkSession, float(np.sqrt(2 - 2 * cosine))
     empty = spark.createDataFrame([], "class long, others long"), spark.createDataFrame([], "a long, b long")
-    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y))
-    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))  # squares of huge components stay finite
-    unit = classes.select("class", "weight", scaled.alias("s")).select("class", "weight", F.transform("s", lambda x: x / norm(F.col("s"))).alias("u"), F.size("s").alias("dim"))
+    scaled = Normalizer(p=float("inf"), inputCol="x", outputCol="s").transform(classes.select("class", "weight", array_to_vector("v").alias("x"), F.size("v").alias("dim")))  # squares of huge components stay finite
+    unit = stored(Normalizer(p=2.0, inputCol="s", outputCol="n").transform(scaled).select("class", "weight", vector_to_array("n").alias("u"), "dim"))
     dims = [r.dim for r in unit.select("dim").distinct().orderBy("dim").collect()]  # lengths of vectors, a handful
     ordered = None
     for dim in dims:
@@ -150,7 +149,7 @@ def _joined(classes: DataFrame, cosine: float, dimensions: int, sequence_rows: i
         ordered = placed if ordered is None else ordered.unionByName(placed)
     if ordered is None:
         return empty
-    n = classes.count()
+    n = unit.count()
     cells = [F.floor(F.get("grid", F.lit(k)) / eps) for k in range(dimensions)]
     # one range partition holds several sequence intervals; equal cells are told apart by their place and class
     in_order = ordered.repartitionByRange(max(1, n // (4 * sequence_rows) + 1), "dim", *cells, F.get("grid", F.lit(0)), "class").sortWithinPartitions("dim", *cells, F.get("grid", F.lit(0)), "class")
@@ -167,9 +166,15 @@ def _joined(classes: DataFrame, cosine: float, dimensions: int, sequence_rows: i
             batch["seq"] = mine
             yield batch
 
-    seqs = stored(in_order.mapInPandas(cut, "class long, weight long, u array<double>, dim int, grid array<double>, seq long"))
+    cut_rows = stored(in_order.mapInPandas(cut, "class long, weight long, u array<double>, dim int, grid array<double>, seq long"))
     box = [f(F.get("grid", F.lit(k))).alias(f"{s}{k}") for k in range(dimensions) for f, s in ((F.min, "lo"), (F.max, "hi"))]
-    boxes = stored(seqs.groupBy("seq", "dim").agg(*box))
+    small = stored(cut_rows.groupBy("seq", "dim").agg(F.count("*").alias("rows"), *box))
+    # neighbouring short intervals become one, however many range partitions there were; one row per interval here
+    before = Window.partitionBy("dim").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    merged = stored(small.withColumn("at", F.floor(F.coalesce(F.sum("rows").over(before), F.lit(0)) / sequence_rows)).withColumn("whole", F.min("seq").over(Window.partitionBy("dim", "at"))))
+    seqs = stored(cut_rows.join(merged.select("seq", "whole"), "seq").select("class", "weight", "u", "grid", F.col("whole").alias("seq")))
+    discard(cut_rows)
+    boxes = stored(merged.groupBy(F.col("whole").alias("seq"), "dim").agg(*(f(f"{s}{k}").alias(f"{s}{k}") for k in range(dimensions) for f, s in ((F.min, "lo"), (F.max, "hi")))))
     cell = lambda c: F.floor(F.col(c) / eps).cast("int")
     left = boxes.select(*(F.col(c).alias(f"l_{c}") for c in boxes.columns), F.explode(F.sequence(cell("lo0") - 1, cell("hi0") + 1)).alias("cell"))
     right = boxes.select(*(F.col(c).alias(f"r_{c}") for c in boxes.columns), F.explode(F.sequence(cell("lo0"), cell("hi0"))).alias("cell"))
