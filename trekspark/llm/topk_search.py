@@ -13,7 +13,7 @@ from trekspark.llm.common import read_table, stored
 
 PIVOTS = 32
 PIVOT_SAMPLE = 4096  # vectors that pivots are picked from
-QUERY_BLOCK = 512  # queries that one task answers together
+QUERY_BLOCK = 4096  # queries that one task answers together; candidates are dealt once per block of queries
 CANDIDATE_BLOCK = 8192
 EVALUATED = 64  # candidates evaluated between two looks at the bound
 SAFE = float(1 << 53)  # products below it are exact in double precision
@@ -132,7 +132,7 @@ def pivot_table_like(queries: DataFrame, table: DataFrame, pivots: int) -> DataF
 
 
 def op2_pivot_table_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x * 1024).cast("double")))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).when(F.abs(x) >= float(1 << 43), x * 1024).otherwise(F.floor(x * 1024).cast("double")))  # from 2^43 on, 1024 x is whole
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("embedding"))
     return top_k(vectors.where("vec_id % 100 = 0"), vectors)
 
