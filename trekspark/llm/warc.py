@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
+import io
 import json
 import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trekspark.llm.common import read_table
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
-FIELDS = "record_id string, warc_type string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, block binary"
+FIELDS = "record_id string, warc_type string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, other_headers string, block binary"
 
 _DROPPED = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
 _NO_LINKS = re.compile(r"<!--.*?(?:-->|$)|(<(script|style)\b[^>]*>).*?(?:</\2\s*>|$)", re.S | re.I)
@@ -78,84 +80,109 @@ def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Da
     """Response records of a table (page_id, url, html): page_id and the record's fields. A null page has
     an empty payload; a null url gives a null target_uri. Record ids follow from page_id and url."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, url, page in zip(batch.page_id, batch.url, batch.html):
+            for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 payload = (page or "").encode("utf-8", "replace")
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-                rows.append((page_id, record_id("response", page_id, url), "response", None, None, url, date, "application/http; msgtype=response", len(block), digest(block), digest(payload), block))
-            yield pd.DataFrame(rows, columns=["page_id", *(x.split()[0] for x in FIELDS.split(", "))])
+                rows.append((record_id("response", page_id, url), "response", None, None, url, date, "application/http; msgtype=response", len(block), digest(block), digest(payload), None, block))
+            yield _records(rows, {"page_id": batch.column("page_id")})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {dict(pages.dtypes)['page_id']}, {FIELDS}")
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, {FIELDS}")
+
+
+_TYPES = {name: {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[kind] for name, kind in (x.split() for x in FIELDS.split(", "))}
+
+
+def _records(rows: list[tuple], first: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Records as a batch, after columns that are passed on as they are."""
+    columns = zip(*rows) if rows else [()] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([*first.values(), *(pa.array(x, t) for x, t in zip(columns, _TYPES.values()))], names=[*first, *_TYPES])
 
 
 def derivatives(responses: DataFrame, key: str | None = None) -> DataFrame:
-    """Two records of each response: metadata (JSON: the source's WARC fields, HTTP status and headers,
+    """Two records of each response: metadata (JSON: all the source's WARC fields, HTTP status and headers,
     title, meta elements, links) and conversion (plain text). Both refer to the response by its id, are
     concurrent to each other, keep its target_uri and date and carry its payload digest; content_length
     and block_digest are those of the new block. ``key`` names a column to pass on. Records of other
-    types give nothing; an empty payload gives an empty text and no title. Repeated rows give repeated records.
+    types give nothing; a null or empty block gives an empty text and no title. Repeated rows give repeated
+    records; an empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                status, headers, payload = split_http(bytes(r.block or b""))
+            rows, at = [], []
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in _TYPES}
+                status, headers, payload = split_http(r["block"] or b"")
                 page = payload.decode(charset_of(headers), "replace")
-                source = digest(payload) if r.payload_digest is None else r.payload_digest
-                envelope = {"WARC-Record-ID": r.record_id, "WARC-Type": r.warc_type, "WARC-Target-URI": r.target_uri, "WARC-Date": r.date, "Content-Type": r.content_type, "Content-Length": r.content_length, "WARC-Block-Digest": r.block_digest, "WARC-Payload-Digest": source}
+                source = digest(payload) if r["payload_digest"] is None else r["payload_digest"]
+                envelope = {name: source if field == "payload_digest" else r[field] for field, name in _HEADERS.items()} | json.loads(r["other_headers"] or "{}")
                 meta = {"warc": {k: v for k, v in envelope.items() if v is not None}, "http": {"status": status, "headers": headers}, "html": page_metadata(page)}
-                ids = {t: record_id(t, r.record_id) for t in ("metadata", "conversion")}
+                ids = {t: record_id(t, r["record_id"]) for t in ("metadata", "conversion")}
                 for kind, content, block in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False).encode("utf-8", "replace")), ("conversion", "text/plain", plain_text(page).encode("utf-8", "replace"))):
                     other = ids["conversion" if kind == "metadata" else "metadata"]
-                    rows.append((*((getattr(r, key),) if key else ()), ids[kind], kind, r.record_id, other, r.target_uri, r.date, content, len(block), digest(block), source, block))
-            yield pd.DataFrame(rows, columns=names)
+                    at.append(i)
+                    rows.append((ids[kind], kind, r["record_id"], other, r["target_uri"], r["date"], content, len(block), digest(block), source, None, block))
+            yield _records(rows, {key: batch.column(key).take(pa.array(at, pa.int32()))} if key else {})
 
-    names = [*([key] if key else []), *(x.split()[0] for x in FIELDS.split(", "))]
-    kept = responses.where("warc_type = 'response'").select(names)
-    return kept.mapInPandas(run, f"{key} {dict(responses.dtypes)[key]}, {FIELDS}" if key else FIELDS)
+    kept = responses.where("warc_type = 'response'").select(*([key] if key else []), *_TYPES)
+    return kept.mapInArrow(run, f"{key} {responses.schema[key].dataType.simpleString()}, {FIELDS}" if key else FIELDS)
 
 
 _HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "content_type": "Content-Type", "content_length": "Content-Length"}
 
 
 def serialized(record: dict) -> bytes:
-    """A WARC/1.1 record as bytes, from a dictionary of the fields above."""
-    head = "".join(f"{name}: {record[field]}\r\n" for field, name in _HEADERS.items() if record.get(field) is not None)
-    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + bytes(record["block"]) + b"\r\n\r\n"
-
-
-def parsed(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes."""
-    fields, at = {v.lower(): k for k, v in _HEADERS.items()}, 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        record = dict.fromkeys(_HEADERS) | {"block": b""}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
+    """A WARC/1.1 record as bytes, from a dictionary of the fields above. Fields that are missing or null are left out."""
+    fields = {name: record[field] for field, name in _HEADERS.items() if record.get(field) is not None} | json.loads(record.get("other_headers") or "{}")
+    head = "".join(f"{name}: {value}\r\n" for name, value in fields.items())
+    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + bytes(record.get("block") or b"") + b"\r\n\r\n"
+
+
+def parsed(data: bytes | io.IOBase) -> Iterator[dict]:
+    """The records of a WARC file, from its bytes or a stream. Fields without a column come as JSON in other_headers.
+    A record without a readable length, or cut off within its head, is passed over; one cut off within its block keeps
+    what is there, and its stated length."""
+    fields, stream = {v.lower(): k for k, v in _HEADERS.items()}, io.BytesIO(data) if isinstance(data, (bytes, bytearray)) else data
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        record, other = dict.fromkeys(_TYPES), {}
+        while (line := stream.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            name, value = name.strip(), value.strip()
             if name.lower() in fields:
-                record[fields[name.lower()]] = value.strip()
-        record["content_length"] = int(record["content_length"] or 0)
-        at = end + 4 + record["content_length"]
-        record["block"] = data[end + 4 : at]
+                record[fields[name.lower()]] = value
+            else:
+                other[name] = value
+        length = str(record["content_length"] or "0")
+        if not line or not (length.isascii() and length.isdigit()):
+            continue
+        record |= {"content_length": int(length), "other_headers": json.dumps(other) if other else None, "block": stream.read(int(length))}
         yield record
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files (plain or gzip); one task holds one file."""
-    names = [x.split()[0] for x in FIELDS.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
+    """Records of WARC files, plain or gzip, as columns of FIELDS. One task holds one file (at most 2 GB, as binaryFile
+    has it) and decompresses it as it goes; broken records are passed over as ``parsed`` says."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.content:
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
-                yield pd.DataFrame(list(parsed(data)), columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, FIELDS)
+            for content in batch.column(0):
+                data = io.BytesIO(content.as_py())
+                rows, held = [], 0
+                for record in parsed(gzip.GzipFile(fileobj=data) if data.getvalue()[:2] == b"\x1f\x8b" else data):
+                    rows.append(tuple(record[c] for c in _TYPES))
+                    held += len(record["block"])
+                    if held > 1 << 24:
+                        yield _records(rows, {})
+                        rows, held = [], 0
+                if rows:
+                    yield _records(rows, {})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FIELDS)
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
