@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from trekspark.llm.common import read_table
+from trekspark.llm.common import read_table, with_columns
 
 # The base phrases and their labels.
 BASE = {
@@ -108,7 +108,7 @@ class Rule:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """Some four hundred rules, in order: each family's identifiers, grants and names, with and without version."""
+    """More than five hundred rules, in order: each family's identifiers, grants and names, with and without version."""
     out = []
 
     def add(label: str, keyword: str, pattern: str, priority: int) -> None:
@@ -215,27 +215,33 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score. Null and empty texts have no words, no labels and score 0; repeated rows stay; other columns are not read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, *scan_text(t)) for d, t in zip(batch.doc_id, batch.text)]
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
-            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
+            columns = zip(*(scan_text(t.as_py()) for t in batch.column("text"))) if batch.num_rows else [()] * len(_SCANNED)
+            yield with_columns(batch, {n: pa.array(x, t) for (n, t), x in zip(_SCANNED.items(), columns)}, drop=("text",))
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+_SCANNED = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_word, n_words, label, priority, matched): each detection that stays, by word."""
+    """(doc_id, first_word, n_words, label, priority, matched): each detection that stays, by word. Null and empty
+    texts have none; ids may be null or repeat, and each row counts; an empty table gives an empty result; other
+    columns are not read."""
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d, t in zip(batch.doc_id, batch.text):
-                normal = normal_words(t)
-                rows += [(d, normal.count(" ", 0, a) - 1, normal.count(" ", a, b) + 1, label, priority, normal[a:b]) for a, b, label, priority in detections(normal)]
-            yield pd.DataFrame(rows, columns=["doc_id", "first_word", "n_words", "label", "priority", "matched"])
+            for i, t in enumerate(batch.column("text")):
+                normal = normal_words(t.as_py())
+                rows += [(i, normal.count(" ", 0, a) - 1, normal.count(" ", a, b) + 1, label, priority, normal[a:b]) for a, b, label, priority in detections(normal)]
+            at, *columns = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, y) for x, y in zip(columns, types))], names=["doc_id", "first_word", "n_words", "label", "priority", "matched"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, first_word long, n_words long, label string, priority int, matched string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, first_word long, n_words long, label string, priority int, matched string")
 
 
 def op8_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

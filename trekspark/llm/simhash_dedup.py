@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekspark.llm.common import components, gives_memory_back, read_table, stored
+from trekspark.llm.common import components, gives_memory_back, read_table, stored, with_columns
 from trekspark.llm.prefix_join import frequent, linked, slots
 
 BITS = 64
@@ -46,13 +47,13 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc
     """(doc_id, fp): one row per row of ``docs``; null and empty texts have fingerprint 0."""
 
     @gives_memory_back
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["fp"] = np.fromiter((signed(fingerprint(t, words_per_shingle)) for t in batch.pop("text")), "i8", len(batch))
-            yield batch
+            fp = np.fromiter((signed(fingerprint(t.as_py(), words_per_shingle)) for t in batch.column("text")), "i8", batch.num_rows)
+            yield with_columns(batch, {"fp": pa.array(fp)}, drop=("text",))
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def correlated_partitions(ones: np.ndarray, both: np.ndarray, n: int, parts: int) -> list[list[int]]:
@@ -247,15 +248,16 @@ def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int
     Every such pair is found: of n shingles in one global order, the first n - least n + 1 hold one that
     both documents have among theirs. Candidates are compared exactly. Null and empty texts are copies of each other.
     """
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     @gives_memory_back
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["key"] = [signed(xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()))) for t in batch.text]
-            yield batch
+            texts = (t.as_py() or "" for t in batch.column("text"))
+            key = [signed(xxhash.xxh3_64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()))) for t in texts]
+            yield with_columns(batch, {"key": pa.array(key, pa.int64())})
 
-    keyed = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(keys, f"doc_id {kind}, text string, key long")
+    keyed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(keys, f"doc_id {kind}, text string, key long")
     classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("first_id")))
     texts = stored(keyed.select("key", "text").dropDuplicates(["key"]))
     shared = frequent(texts, "text", lambda x: (shingle_set(t, words_per_shingle) for t in x), 5_000)

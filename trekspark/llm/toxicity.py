@@ -9,10 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekspark.llm.common import gives_memory_back, read_table
+from trekspark.llm.common import gives_memory_back, read_table, with_columns
 
 MAX_LABELLED = 8000  # documents that the classifier is fitted on, half of either label
 DIMENSIONS = 1 << 18
@@ -83,12 +84,13 @@ class NoisyOrModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, toxic): at most ``max_labelled`` // 2 documents of either label, picked by a hash of the id."""
+    """(doc_id, text, toxic): at most ``max_labelled`` // 2 documents of either label, picked by a hash
+    of the id; of repeated rows of an id, the least text. Null ids and labels are left out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1")
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled // 2) for y in (0, 1)]
     some = picked[0].unionByName(picked[1])  # bounded by max_labelled rows
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 class _Chunk:
@@ -126,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     Features are taken in Spark tasks from whole texts; the sample's feature ids come to the driver,
     partition by partition, where full-batch Adagrad with a soft threshold minimises the noisy-or negative log likelihood.
     Features in fewer than ``min_documents`` sampled documents get no weight. With no label of one
-    kind, the model scores every document 0.
+    kind, the model scores every document 0. Null and empty texts have no sentence; null ids, null labels and
+    labels of absent documents are left out; of repeated labels of an id the largest counts.
     """
 
     @gives_memory_back
@@ -179,28 +182,32 @@ def score(docs: DataFrame, model: NoisyOrModel, threshold: float = THRESHOLD) ->
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")))
 
     @gives_memory_back
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for batch in batches:
-            batch["score"] = np.array([shared.value.score(t, memo) for t in batch.text], float)
-            batch["predicted"] = (batch.score >= threshold).astype(np.int32)
-            yield batch
+            scores = np.array([shared.value.score(t.as_py(), memo) for t in batch.column("text")], float)
+            yield with_columns(batch, {"score": pa.array(scores), "predicted": pa.array((scores >= threshold).astype(np.int32))})
 
-    return kept.mapInPandas(run, kept.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
+    return kept.mapInArrow(run, kept.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
 
 
 def offending_sentences(docs: DataFrame, model: NoisyOrModel, least: float = 0.5) -> DataFrame:
-    """(doc_id, sentence, start, end, score, text) of each sentence whose own score is at least ``least``; offsets in characters."""
+    """(doc_id, sentence, start, end, score, text) of each sentence whose own score is at least ``least``; offsets in
+    characters. Null and empty texts have none; ids may be null or repeat, and each row counts; an empty table gives
+    an empty result; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["sentence", "start", "end", "score", "text"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
 
     @gives_memory_back
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for batch in batches:
-            rows = [(d, n, a, b, float(p), t[a:b]) for d, t in zip(batch.doc_id, batch.text) for n, (a, b, p) in enumerate(shared.value.sentence_scores(t, memo)) if p >= least]
-            yield pd.DataFrame(rows, columns=["doc_id", "sentence", "start", "end", "score", "text"])
+            rows = [(i, n, a, b, float(p), t.as_py()[a:b]) for i, t in enumerate(batch.column(1)) for n, (a, b, p) in enumerate(shared.value.sentence_scores(t.as_py(), memo)) if p >= least]
+            at, *columns = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, y) for x, y in zip(columns, types))], names=["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, sentence int, start int, end int, score double, text string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sentence int, start int, end int, score double, text string")
 
 
 def op4_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
