@@ -237,8 +237,14 @@ def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8", len(words))
     n = max(1, len(words) - words_per_shingle + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + words_per_shingle]), 42) for i in range(n)), "<u8", n))
+    joined = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(min(words_per_shingle, len(words))):  # each word's hash in its place
+            joined = (joined ^ (joined >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+        joined = (joined ^ (joined >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(joined ^ (joined >> np.uint64(31)))
 
 
 def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
@@ -274,11 +280,18 @@ def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int
     @gives_memory_back
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.loc[[jaccard(shingle_set(x, words_per_shingle), shingle_set(y, words_per_shingle)) >= least - 1e-9 for x, y in zip(batch.text_a, batch.text_b)], ["a", "b"]]
+            sets: dict[int, np.ndarray] = {}  # of the batch's documents, each once
+            for key, text in zip([*batch.a, *batch.b], [*batch.text_a, *batch.text_b]):
+                if key not in sets:
+                    sets[key] = shingle_set(text, words_per_shingle)
+            yield batch.loc[[jaccard(sets[x], sets[y]) >= least - 1e-9 for x, y in zip(batch.a, batch.b)], ["a", "b"]]
 
     def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both / (len(x) + len(y) - both)
+        if min(len(x), len(y)) < (least - 1e-9) * max(len(x), len(y)):
+            return 0.0
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1) if len(y) else np.zeros(0, np.int64)
+        both = int((y[at] == x).sum()) if len(y) else 0
+        return both / max(1, len(x) + len(y) - both)
 
     def verified(pairs: DataFrame, of_key: DataFrame) -> DataFrame:
         both = pairs.join(of_key.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(of_key.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
