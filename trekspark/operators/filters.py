@@ -63,10 +63,14 @@ def _(t):
 
 
 def drop_short_tracks(points: DataFrame, min_points: int = 300) -> DataFrame:
-    """Tracks of at least ``min_points``, with new_id 0 .. N - 1 in the order of track_id. Numbers come
-    from one row per track."""
+    """Tracks of at least ``min_points``, with new_id 0 .. N - 1 in the order of track_id: a place within
+    each run of 4,096 ids, after the tracks of the runs before, so no task sorts all tracks."""
     long = points.groupBy("track_id").count().where(F.col("count") >= min_points).select("track_id")
-    ids = long.withColumn("new_id", F.row_number().over(Window.orderBy("track_id")) - 1)
+    placed = long.withColumn("_run", F.floor(F.col("track_id") / 4096))
+    runs = placed.groupBy("_run").agg(F.count("*").alias("_c"))
+    runs = runs.select("_run", (F.sum("_c").over(Window.orderBy("_run")) - F.col("_c")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_run").orderBy("track_id")) - 1
+    ids = placed.withColumn("_in", inside).join(runs, "_run").select("track_id", (F.col("_in") + F.col("_before")).cast("int").alias("new_id"))
     return points.join(ids, "track_id")
 
 

@@ -126,9 +126,7 @@ def leave_one_scene_out(segments: DataFrame, target: int) -> DataFrame:
 
 @query("fewshot_tracks", "SELECT track FROM (SELECT track, row_number() OVER (ORDER BY md5('1001|' || CAST(track AS VARCHAR)), track) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT track FROM fx_s WHERE scene = 3)) WHERE k <= greatest(1, floor(n * 0.1))")
 def _(t):
-    tracks = t.fx_s.where("scene = 3").select("track").distinct()
-    order = Window.orderBy(F.md5(F.concat_ws("|", F.lit("1001"), F.col("track").cast("string"))), "track")  # one row per track of one scene
-    return tracks.withColumns({"k": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy())}).where("k <= greatest(1, floor(n * 0.1))").select("track")
+    return hash_rank(t.fx_s.where("scene = 3").select("track").distinct(), ["track"], 1001).where("_k <= greatest(1, floor(_n * 0.1))").select("track")
 
 
 @query("topk_accuracy", "SELECT pos, round(avg(CASE WHEN pred_next = true_next THEN 1e0 ELSE 0e0 END), 6) AS top1, count(*) AS n FROM fx_pred GROUP BY pos")
