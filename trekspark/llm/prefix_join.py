@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,30 +13,55 @@ from pyspark.sql import functions as F
 from trekspark.llm.common import components, discard, gives_memory_back, stored
 
 COUNT_BITS = 20  # slots of the table of counts
+CHUNKS = 256  # parts in which a task sends its table
 
 
 def slots(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def frequent(items: DataFrame, column: str, grams: Callable[[list], Iterator[np.ndarray]], sample: int, levels: tuple = ()) -> Broadcast:
-    """Counts (of 16 or more, else 0) by slot of the ``grams`` of about ``sample`` rows of ``items`` (key, column):
-    a table of fixed size (4 MB) that puts rare grams first. Any order is right, this one makes groups small.
-    With ``levels``, how many of them a count reaches stands in its place."""
-    every = max(1, items.count() // sample)
+def frequent(items: DataFrame, grams: Callable[[pa.RecordBatch], Iterator[np.ndarray]], shares: tuple, least: int = 16) -> Broadcast:
+    """For each slot, how many of ``shares`` (ascending) of the rows of ``items`` its count over all rows reaches, and 0 below
+    ``least``: common grams get levels of 1 or more. ``grams`` gives those of a batch, in arrays.
+
+    A table of fixed size (1 MB) for any number of rows: each task adds up its own and sends it in chunks, whose sums
+    are taken batch by batch. Any order of grams is right; rare ones first makes groups small.
+    """
 
     @gives_memory_back
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            for some in grams(list(batch[column])):
-                total += np.bincount(slots(some), minlength=1 << COUNT_BITS)
-        slot = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": slot.astype(np.int32), "n": total[slot]})
-
-    seen = items.where(F.pmod("key", F.lit(every)) == 0).select(column).mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min(levels, default=16)).toPandas()
-    table = np.zeros(1 << COUNT_BITS, np.uint32)
-    table[seen.slot] = np.searchsorted(levels, seen.n, "right") if levels else seen.n
+            held: list[np.ndarray] = []
+            n = 0
+            for some in grams(batch):
+                held.append(slots(some))
+                n += len(some)
+                if n > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=1 << COUNT_BITS)
+                    held, n = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=1 << COUNT_BITS)
+        rows = [(k, x.tobytes()) for k, x in enumerate(total.astype("<u4").reshape(CHUNKS, -1)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "counts"])
+
+    rows = items.count()
+    levels = [max(least, int(share * rows)) for share in shares]
+    size = (1 << COUNT_BITS) // CHUNKS
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+        for chunk, counts in sums.items():
+            level = np.searchsorted(levels, counts, "right")
+            at = np.flatnonzero(level)
+            yield pa.RecordBatch.from_arrays([pa.array((chunk * size + at).astype(np.int32)), pa.array(level[at].astype(np.int32))], names=["slot", "level"])
+
+    common = items.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "slot int, level int").toPandas()
+    table = np.zeros(1 << COUNT_BITS, np.uint8)
+    table[common.slot] = common.level
     return items.sparkSession.sparkContext.broadcast(table)
 
 

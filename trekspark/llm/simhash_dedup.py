@@ -13,11 +13,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekspark.llm.common import components, gives_memory_back, read_table, stored, with_columns
+from trekspark.llm.common import components, discard, gives_memory_back, read_table, stored, with_columns
 from trekspark.llm.prefix_join import frequent, linked, slots
 
 BITS = 64
 TABLE_BITS = 16  # buckets of the count table of one partition
+SHARES = (3e-3, 1e-2, 3e-2, 1e-1)  # of all documents: levels of how common a shingle is
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -266,16 +267,29 @@ def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int
     keyed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(keys, f"doc_id {kind}, text string, key long")
     classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("first_id")))
     texts = stored(keyed.select("key", "text").dropDuplicates(["key"]))
-    shared = frequent(texts, "text", lambda x: (shingle_set(t, words_per_shingle) for t in x), 5_000)
+
+    def grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (shingle_set(t.as_py(), words_per_shingle) for t in batch.column("text"))
+
+    shared = frequent(texts.select("text"), grams, SHARES)
 
     @gives_memory_back
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shared.value
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.key, batch.text):
-                have = shingle_set(text, words_per_shingle)
-                first = have[np.argsort(counts[slots(have)], kind="stable")][: len(have) - math.ceil(least * len(have) - 1e-9) + 1]
-                yield pd.DataFrame({"gram": first.view(np.int64), "hot": counts[slots(first)] > 0, "key": np.full(len(first), key, np.int64), "size": np.full(len(first), len(have), np.int32)})
+            for first in range(0, batch.num_rows, 1024):
+                yield signed_rows(batch.slice(first, 1024))
+
+    def signed_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, size = [], []
+        for have in grams(batch):
+            order = np.argsort(shared.value[slots(have)], kind="stable")
+            found.append(have[order[: len(have) - math.ceil(least * len(have) - 1e-9) + 1]])
+            size.append(len(have))
+        per = np.array([len(x) for x in found])
+        gram = np.concatenate(found)
+        of_row = pa.array(np.repeat(np.arange(len(per)), per))
+        columns = [pa.array(gram.view(np.int64)), pa.array(shared.value[slots(gram)] > 0), batch.column("key").take(of_row), pa.array(np.repeat(size, per).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["gram", "hot", "key", "size"])
 
     @gives_memory_back
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,7 +314,10 @@ def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int
     def may(x: Column, y: Column) -> Column:
         return F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * least - 1e-9
 
-    joined = components(linked(texts.mapInPandas(sign, "gram long, hot boolean, key long, size int"), may, lambda keys: texts.join(keys, "key", "left_semi"), verified))
+    sigs = stored(texts.mapInArrow(sign, "gram long, hot boolean, key long, size int"))  # read three times
+    joined = components(linked(sigs, may, lambda keys: texts.join(keys, "key", "left_semi"), verified))
+    discard(sigs)
+    discard(texts)
     rooted = classes.join(joined, classes.key == joined.node, "left").select("first_id", F.coalesce("component", "key").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first_id").alias("doc_id")).select("doc_id")
     chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
