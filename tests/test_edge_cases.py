@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from trekspark.functions.geo import haversine_m
 from trekspark.operators.expressions import time_to_seconds
 from trekspark.operators.filters import drop_jump_tracks, filter_polygon
+from trekspark.operators.forecast import prior_lookup
+from trekspark.operators.statistics import markov_rollout
 from trekspark.operators.trajectory import compress_sequence, detect_stays, distance_segments, interpolate_nulls, propagate_labels
 
 
@@ -54,3 +56,22 @@ def test_sequences_and_fills(spark):
     assert [r.region_id for r in propagate_labels(df, "region_id").orderBy("event_id").collect()] == [5, 5, 5, 5, 7, 7]
     assert [r.v for r in interpolate_nulls(df, "v").orderBy("event_id").collect()] == [1.0, 1.0, 2.0, 3.0, 3.0, 3.0]
     assert [r.region_id for r in compress_sequence(df).orderBy("event_id").collect()] == [-1, 5, -1, 7, -1]
+
+
+def test_prior_of_a_new_pair_is_the_mean_over_all_steps(spark):
+    prior = spark.createDataFrame([(1, 2, 10.0, 3), (2, 3, 50.0, 1)], "region_id int, nxt int, mu double, n long")
+    test = spark.createDataFrame([(7, 1, 2), (8, 3, 1)], "track_id long, region_id int, nxt int")
+    assert {r.track_id: r.mu for r in prior_lookup(test, prior).collect()} == {7: 10.0, 8: 20.0}
+
+
+def test_rollout_goes_on_to_the_end_of_each_track(spark):
+    after = {1: 2, 2: 3, 3: 4, 4: 2}
+    train = spark.createDataFrame([(a, b) for a, b in after.items()] + [(5, 9), (6, 9), (7, 9)], "region_id int, nxt int")
+    rows = [(t, pos, start if pos == 2 else 0) for t, start, n in ((1, 1, 13), (2, 4, 3), (3, 9, 5), (4, 8, 4), (5, 1, 2)) for pos in range(1, n + 1)]
+    got = {(r.track_id, r.pos): r.pred for r in markov_rollout(spark.createDataFrame(rows, "track_id long, pos int, region_id int"), train).collect()}
+    want = {}
+    for t, start, n in ((1, 1, 13), (2, 4, 3), (3, 9, 5), (4, 8, 4)):
+        for pos in range(3, n + 1):
+            start = after.get(start, 9)
+            want[t, pos] = start
+    assert got == want

@@ -298,10 +298,10 @@ def steps(visits: DataFrame) -> DataFrame:
     return visits.withColumns({"nxt": F.lead("region_id").over(track_order()), "dur": F.lead("t_s").over(track_order()) - F.col("t_s"), "pos": F.row_number().over(track_order())})
 
 
-@query("reachable_mask", f"WITH {STEPS_SQL} SELECT track_id, event_id, region_id, nxt FROM st a WHERE track_id % 10 >= 7 AND EXISTS (SELECT 1 FROM st b WHERE b.track_id % 50 = 1 AND b.region_id = a.region_id AND b.nxt = a.nxt)")
+@query("reachable_mask", f"WITH {STEPS_SQL} SELECT track_id, event_id, region_id, nxt FROM st SEMI JOIN (SELECT DISTINCT region_id, nxt FROM st WHERE track_id % 10 < 7 AND nxt IS NOT NULL) mv USING (region_id, nxt) WHERE track_id % 10 >= 7")
 def _(t):
     s = steps(t.fx_r)
-    return reachable(s.where("track_id % 10 >= 7").select("track_id", "event_id", "region_id", "nxt"), s.where("track_id % 50 = 1 and nxt is not null")).select("track_id", "event_id", "region_id", "nxt")
+    return reachable(s.where("track_id % 10 >= 7").select("track_id", "event_id", "region_id", "nxt"), s.where("track_id % 10 < 7 and nxt is not null")).select("track_id", "event_id", "region_id", "nxt")
 
 
 def feature_group(df: DataFrame, name: str, keys: list[str]) -> DataFrame:

@@ -153,11 +153,11 @@ def dedup_near_tracks(points: DataFrame) -> DataFrame:
     """track_id of the longest track (then the largest id) of each start (3 decimals) and length (0.1 km)."""
     hops = hop_metres(points)
     per = hops.groupBy("track_id").agg(F.min_by("lat", F.struct("t_s", "event_id")).alias("lat"), F.min_by("lon", F.struct("t_s", "event_id")).alias("lon"), (F.coalesce(F.sum("hop_m"), F.lit(0.0)) / 1000).alias("km"))
-    sig = [F.round("lat", 2), F.round("lon", 2), F.round("km", 1)]
+    sig = [F.round("lat", 3), F.round("lon", 3), F.round("km", 1)]
     return per.withColumn("_k", F.row_number().over(Window.partitionBy(*sig).orderBy(F.round("km", 6).desc(), F.desc("track_id")))).where("_k = 1").select("track_id")
 
 
-@query("dedup_near_tracks", f"WITH h AS ({HOPS_SQL}), a AS (SELECT track_id, arg_min(lat, (t_s, event_id)) AS lat, arg_min(lon, (t_s, event_id)) AS lon, coalesce(sum(hop_m), 0) / 1000 AS km FROM h GROUP BY track_id) SELECT track_id FROM (SELECT track_id, row_number() OVER (PARTITION BY round(lat, 2), round(lon, 2), round(km, 1) ORDER BY round(km, 6) DESC, track_id DESC) AS k FROM a) WHERE k = 1")
+@query("dedup_near_tracks", f"WITH h AS ({HOPS_SQL}), a AS (SELECT track_id, arg_min(lat, (t_s, event_id)) AS lat, arg_min(lon, (t_s, event_id)) AS lon, coalesce(sum(hop_m), 0) / 1000 AS km FROM h GROUP BY track_id) SELECT track_id FROM (SELECT track_id, row_number() OVER (PARTITION BY round(lat, 3), round(lon, 3), round(km, 1) ORDER BY round(km, 6) DESC, track_id DESC) AS k FROM a) WHERE k = 1")
 def _(t):
     return dedup_near_tracks(t.fx_p)
 

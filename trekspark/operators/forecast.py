@@ -35,10 +35,10 @@ def prior_lookup(test: DataFrame, prior: DataFrame) -> DataFrame:
     return test.join(prior.select("region_id", "nxt", "mu"), ["region_id", "nxt"], "left").join(F.broadcast(overall)).withColumn("mu", F.coalesce("mu", "_all")).drop("_all")  # overall is one row
 
 
-@query("prior_lookup", f"WITH {STEPS_SQL}, p AS (SELECT region_id, nxt, avg(dur) AS mu FROM st WHERE nxt IS NOT NULL AND track_id % 50 = 1 GROUP BY 1, 2), g AS (SELECT avg(dur) AS g FROM st WHERE nxt IS NOT NULL AND track_id % 50 = 1) SELECT s.track_id, s.pos, round(coalesce(p.mu, g), 3) AS mu FROM st s LEFT JOIN p ON p.region_id = s.region_id AND p.nxt = s.nxt CROSS JOIN g WHERE s.nxt IS NOT NULL AND s.track_id % 10 >= 7")
+@query("prior_lookup", f"WITH {STEPS_SQL}, p AS (SELECT region_id, nxt, avg(dur) AS mu FROM st WHERE nxt IS NOT NULL AND track_id % 10 < 7 GROUP BY 1, 2), g AS (SELECT avg(dur) AS g FROM st WHERE nxt IS NOT NULL AND track_id % 10 < 7) SELECT s.track_id, s.pos, round(coalesce(p.mu, g), 3) AS mu FROM st s LEFT JOIN p ON p.region_id = s.region_id AND p.nxt = s.nxt CROSS JOIN g WHERE s.nxt IS NOT NULL AND s.track_id % 10 >= 7")
 def _(t):
     s = steps(t.fx_r).where("nxt is not null")
-    return prior_lookup(s.where("track_id % 10 >= 7"), pair_prior(s.where("track_id % 50 = 1"))).select("track_id", "pos", F.round("mu", 3).alias("mu"))
+    return prior_lookup(s.where("track_id % 10 >= 7"), pair_prior(s.where("track_id % 10 < 7"))).select("track_id", "pos", F.round("mu", 3).alias("mu"))
 
 
 @query("region_median", f"WITH {STEPS_SQL} SELECT region_id, round(median(dur), 4) AS median_dur FROM st WHERE nxt IS NOT NULL GROUP BY region_id")

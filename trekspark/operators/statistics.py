@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trekspark.graph import stored
 from trekspark.operators.expressions import STEPS_SQL, normal_cdf, steps
 from trekspark.operators.forecast import MARKOV_SQL, PAIRS_SQL, hash_rank, markov_next, most_frequent, paired_differences, signed_ranks
 from trekspark.operators.trajectory import sequences
@@ -140,25 +141,29 @@ def _(t):
     return s.groupBy("scene").agg(F.round(F.avg("dur"), 4).alias("mean_dur"), F.round(F.stddev_pop("dur"), 4).alias("sd_dur"), F.round(F.percentile("dur", 0.95), 4).alias("p95_dur"))
 
 
-def markov_rollout(test: DataFrame, train: DataFrame, prefix: int = 2, most: int = 8) -> DataFrame:
-    """(track_id, pos, pred) for positions ``prefix`` + 1 .. ``prefix`` + ``most`` of each track: predictions are fed back.
-    The chain from each region is worked out once per region, then joined."""
-    start = test.where(F.col("pos") == prefix).select("track_id", F.col("region_id").alias("from"))
-    length = test.groupBy("track_id").agg(F.max("pos").alias("len"))
-    chain = start.select(F.col("from").alias("region_id")).distinct().select("region_id", F.col("region_id").alias("at"))
-    moved = None
-    for k in range(1, most + 1):
-        chain = markov_next(chain.select(F.col("region_id").alias("from"), F.col("at").alias("region_id")), train).select(F.col("from").alias("region_id"), F.col("pred").alias("at"))
-        one = chain.select("region_id", F.lit(prefix + k).alias("pos"), F.col("at").alias("pred"))
-        moved = one if moved is None else moved.unionByName(one)
-    met = start.join(length, "track_id").join(moved, F.col("from") == F.col("region_id")).where(F.col("pos") <= F.col("len"))
-    return met.select("track_id", "pos", "pred")
+def markov_rollout(test: DataFrame, train: DataFrame, prefix: int = 2) -> DataFrame:
+    """(track_id, pos, pred) for every position after ``prefix`` up to each track's length: predictions are fed back.
 
+    The successor of each region is worked out once; squared again and again it gives jumps of 1, 2, 4, .. steps, and each
+    position is reached by the jumps that its distance is made of. So the rounds grow with the logarithm of the longest track.
+    """
+    start = test.where(F.col("pos") == prefix).select("track_id", F.col("region_id").alias("at"))
+    length = test.groupBy("track_id").agg(F.max("pos").alias("len")).where(F.col("len") > prefix)
+    moves = train.where("nxt is not null")
+    regions = moves.select("region_id").union(moves.select("nxt")).union(start.select("at")).distinct()
+    jump = stored(markov_next(regions, train).select(F.col("region_id").alias("_x"), F.col("pred").alias("_y")))
+    longest = length.agg(F.max("len")).first()[0] or prefix
+    out = start.join(length, "track_id").select("track_id", F.explode(F.sequence(F.lit(1), F.col("len") - prefix)).alias("_k"), "at")
+    for b in range((longest - prefix).bit_length()):
+        out = out.join(jump, F.col("at") == F.col("_x"), "left").select("track_id", "_k", F.when(F.col("_k").bitwiseAND(F.lit(1 << b)) != 0, F.col("_y")).otherwise(F.col("at")).alias("at"))
+        jump = stored(jump.join(jump.select(F.col("_x").alias("_y"), F.col("_y").alias("_z")), "_y").select("_x", F.col("_z").alias("_y")))
+    return out.select("track_id", (F.col("_k") + prefix).alias("pos"), F.col("at").alias("pred"))
 
-@query("markov_rollout", f"WITH RECURSIVE {MARKOV_SQL}, ro AS (SELECT track_id, pos, region_id AS cur FROM st WHERE pos = 2 AND track_id % 10 >= 7 UNION ALL SELECT ro.track_id, CAST(ro.pos + 1 AS INT), coalesce(mk.pred, gb.best) FROM ro LEFT JOIN mk ON mk.region_id = ro.cur CROSS JOIN gb WHERE ro.pos < 6), ln AS (SELECT track_id, max(pos) AS n FROM st GROUP BY 1) SELECT track_id, pos, cur AS pred FROM ro JOIN ln USING (track_id) WHERE pos > 2 AND pos <= n")
+
+@query("markov_rollout", f"WITH RECURSIVE {MARKOV_SQL}, ln AS (SELECT track_id, max(pos) AS n FROM st GROUP BY 1), ro AS (SELECT track_id, pos, region_id AS cur FROM st WHERE pos = 2 AND track_id % 10 >= 7 UNION ALL SELECT ro.track_id, CAST(ro.pos + 1 AS INT), coalesce(mk.pred, gb.best) FROM ro JOIN ln ON ln.track_id = ro.track_id LEFT JOIN mk ON mk.region_id = ro.cur CROSS JOIN gb WHERE ro.pos < ln.n) SELECT track_id, pos, cur AS pred FROM ro WHERE pos > 2")
 def _(t):
     s = steps(t.fx_r)
-    return markov_rollout(s.where("track_id % 10 >= 7"), s.where("track_id % 10 < 7"), 2, 4)
+    return markov_rollout(s.where("track_id % 10 >= 7"), s.where("track_id % 10 < 7"))
 
 
 @query("track_alignment", "WITH p AS (SELECT track_id, pos, pred_next FROM fx_pred WHERE track_id % 3 > 0) SELECT r.scene, count(*) AS n, round(avg(CASE WHEN p.pred_next = r.true_next THEN 1e0 ELSE 0e0 END), 6) AS hit FROM fx_pred r JOIN p ON p.track_id = r.track_id AND p.pos = r.pos GROUP BY r.scene")
@@ -177,9 +182,9 @@ def _(t):
     return c.groupBy("scene").agg(F.count("*").alias("n"), F.round(F.avg((F.abs("e") <= 1.6449 * F.col("s")).cast("double")), 5).alias("picp90"), F.round(F.avg(2 * 1.6449 * F.col("s")) / 60, 4).alias("width_min"))
 
 
-@query("residual_correlation", "WITH z AS (SELECT track_id, pos, (true_dur - mu) / sigma AS z FROM fx_pred WHERE pos <= 6 AND sigma IS NOT NULL) SELECT a.pos AS p, b.pos AS q, round(corr(a.z, b.z), 6) AS r, count(*) AS n FROM z a JOIN z b ON a.track_id = b.track_id AND a.pos < b.pos GROUP BY 1, 2 HAVING count(*) >= 10")
+@query("residual_correlation", "WITH z AS (SELECT track_id, pos, (true_dur - mu) / sigma AS z FROM fx_pred WHERE sigma IS NOT NULL) SELECT a.pos AS p, b.pos AS q, round(corr(a.z, b.z), 6) AS r, count(*) AS n FROM z a JOIN z b ON a.track_id = b.track_id AND a.pos < b.pos GROUP BY 1, 2 HAVING count(*) >= 10")
 def _(t):
-    z = t.fx_pred.where("pos <= 6 and sigma is not null").select("track_id", "pos", ((F.col("true_dur") - F.col("mu")) / F.col("sigma")).alias("z"))
+    z = t.fx_pred.where("sigma is not null").select("track_id", "pos", ((F.col("true_dur") - F.col("mu")) / F.col("sigma")).alias("z"))
     pairs = z.select("track_id", F.col("pos").alias("p"), F.col("z").alias("x")).join(z.select("track_id", F.col("pos").alias("q"), F.col("z").alias("y")), "track_id").where("p < q")
     return pairs.groupBy("p", "q").agg(F.round(F.corr("x", "y"), 6).alias("r"), F.count("*").alias("n")).where("n >= 10")
 
