@@ -78,7 +78,9 @@ def linked(sigs: DataFrame, may: Callable, texts: Callable[[DataFrame], DataFram
     columns = [c for c in sigs.columns if c not in ("gram", "hot")]
     keyed = F.struct(*columns).alias("x")
     by_gram = Window.partitionBy("gram")
-    cold = sigs.where("not hot").select("gram", *columns).repartition("gram").distinct().select("gram", keyed)
+    cold = sigs.where("not hot").select("gram", *columns).repartition("gram")
+    low, high = F.min("key").over(by_gram), F.max("key").over(by_gram)
+    cold = cold.select("*", low.alias("low"), high.alias("high")).where("low != high").select("gram", *columns).distinct().select("gram", keyed)  # most grams have one key
     cold = cold.select("gram", "x", F.min("x").over(by_gram).alias("y"), F.count("*").over(by_gram).alias("n")).where("n > 1")
     hot = sigs.where("hot").select("gram", *columns).distinct().select("gram", keyed)
     stars = hot.groupBy("gram").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1")
