@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trekspark.llm import chat_format, embedding_dedup, license_scan, line_dedup, mixing, packing, simhash_dedup, topk_search, toxicity, turn_repair, url_filter, warc
+from trekspark.llm import chat_format, embedding_dedup, license_scan, line_dedup, mixing, packing, periodic_runs, simhash_dedup, topk_search, toxicity, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_fuzzy_line_dedup": line_dedup.op1_fuzzy_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
     "op11_prefix_doubling_repair": turn_repair.op11_prefix_doubling_repair,
     "op12_prefix_target_expansion": chat_format.op12_prefix_target_expansion,
+    "op13_dyadic_square_catching": periodic_runs.op13_dyadic_square_catching,
 }
 
 ORACLE_SQL: dict[str, str] = {
