@@ -163,13 +163,10 @@ TEMPLATES_SQL = f"{SEQS_SQL}, ro AS (SELECT DISTINCT track_id, route_id FROM fx_
 
 
 def route_sequence_templates(t) -> DataFrame:
-    """(route_id, n, seq): each route's most common train sequence, ties to the first in letters, and its train tracks."""
+    """(route_id, n, seq): each route's most common train sequence, ties to the smaller one, and its train tracks."""
     s = sequences(t.fx_r).join(t.fx_r.select("track_id", "route_id").distinct(), "track_id").where("track_id % 10 < 7")
-    letters = F.array_join(F.transform("seq", lambda x: F.char(F.lit(97) + x)), "")
-    best = most_frequent(s.withColumn("letters", letters), ["route_id"], "letters").select("route_id", "letters")
     n = s.groupBy("route_id").agg(F.count("*").alias("n"))
-    back = F.transform(F.split("letters", ""), lambda c: F.ascii(c) - 97)
-    return best.join(n, "route_id").select("route_id", "n", back.alias("seq"))
+    return most_frequent(s, ["route_id"], "seq").select("route_id", "seq").join(n, "route_id").select("route_id", "n", "seq")
 
 
 @query("template_suffix", f"WITH {TEMPLATES_SQL} SELECT track_id, route_id, lcp, array_to_string(suffix, ',') AS suffix FROM ts")
@@ -195,8 +192,8 @@ def _(t):
 
 def nearest_route(test: DataFrame, templates: DataFrame) -> DataFrame:
     """(track_id, route_id, dist, near): the template with the smallest edit distance over the longer length, ties to the
-    smaller route. Routes are few and travel as one array; regions are letters."""
-    letters = F.array_join(F.transform("seq", lambda x: F.char(F.lit(97) + x)), "")
+    smaller route. Routes are few and travel as one array; regions (0 to 55,000) are characters."""
+    letters = F.decode(F.unhex(F.array_join(F.transform("seq", lambda x: F.lpad(F.hex(x + 256), 4, "0")), "")), "UTF-16BE")  # a character a region
     routes = templates.select(F.struct("route_id", letters.alias("s")).alias("r")).agg(F.collect_list("r").alias("routes"))
     away = lambda r: F.struct((F.levenshtein(F.col("s"), r.s) / F.greatest(F.length("s"), F.length(r.s))).alias("dist"), r.route_id.alias("route_id"))
     met = test.select("track_id", letters.alias("s")).join(F.broadcast(routes)).select("track_id", F.array_min(F.transform("routes", away)).alias("b"))  # one row
