@@ -16,6 +16,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.ui.retainedExecutions", "20")
+        .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", f"file://{folder}/shared")
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
         .getOrCreate()
