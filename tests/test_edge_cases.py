@@ -75,3 +75,48 @@ def test_rollout_goes_on_to_the_end_of_each_track(spark):
             start = after.get(start, 9)
             want[t, pos] = start
     assert got == want
+
+
+def test_ridge_with_nulls_and_without_train_rows(spark):
+    from trekspark.operators.learned import ridge_duration
+
+    rows = [(k, float(k % 7), 3.0 * (k % 7) + 5) for k in range(50)]
+    train = spark.createDataFrame([*rows, (90, None, 1.0), (91, 2.0, None)], "id long, x double, dur_s double")
+    test = spark.createDataFrame([(1, 2.0), (2, None)], "id long, x double")
+    got = {r.id: r.pred for r in ridge_duration(train, test, ["x"]).collect()}
+    assert abs(got[1] - 11.0) < 0.5 and got[2] is None
+    assert {r.pred for r in ridge_duration(train.where("id > 1000"), test, ["x"]).collect()} == {None}
+
+
+def test_csv_with_a_repeated_name_in_its_header(spark, tmp_path):
+    from trekspark.sources.files import read_track_csv
+
+    (tmp_path / "a.csv").write_text("lon,lat,note,note\n1.5,2.5,first,second\n")
+    (tmp_path / "b.csv").write_text("lat,lon\n3.5,4.5\n")
+    got = sorted(tuple(r) for r in read_track_csv(spark, str(tmp_path), ("lon", "lat")).select("lon", "lat", "note").collect())
+    assert got == [(1.5, 2.5, "first"), (4.5, 3.5, None)]
+
+
+def test_pois_far_from_the_path_snap_too(spark):
+    import random
+
+    from trekspark.functions.geo import EARTH_M
+    from trekspark.operators.spatial import project_to_path
+
+    r = random.Random(1)
+    path = [(s, t, e, 103 + r.gauss(0, 0.002), 30 + r.gauss(0, 0.002), 1.0) for s in (0, 1) for t in range(3) for e in range(40)] + [(2, 9, 0, 103.0, 30.0, 1.0), (0, 9, 1, None, 30.0, 1.0)]
+    poi = [(s, 100 * s + k, "05", 103 + r.gauss(0, w), 30 + r.gauss(0, w)) for s in (0, 1, 2) for k, w in enumerate([0.001] * 30 + [0.3] * 5)] + [(0, 999, "05", None, 30.0), (7, 998, "05", 103.0, 30.0)]
+    got = {x.poi_id: (x.track_id, x.event_id) for x in project_to_path(spark.createDataFrame(poi, "scene int, poi_id long, type_code string, lon double, lat double"), spark.createDataFrame(path, "scene int, track_id long, event_id long, lon double, lat double, ele double"), 33e-5).collect()}
+
+    def metres(a, b):
+        import math
+
+        x = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+        return round(2 * EARTH_M * math.asin(math.sqrt(x)), 3)
+
+    want = {}
+    for s, i, _, x, y in poi:
+        near = sorted((((p[3] - x) ** 2 + (p[4] - y) ** 2) ** 0.5, p[1], p[2], p[3], p[4]) for p in path if p[0] == s and p[3] is not None and x is not None)[:5]
+        if near:
+            want[i] = min((metres((x, y), n[3:]), k, n[1:3]) for k, n in enumerate(near))[2]
+    assert got == want and len(got) == 105

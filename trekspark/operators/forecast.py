@@ -59,9 +59,18 @@ def most_frequent(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("_n"), F.col(value).alias("_v"))).alias("_b")).select(*keys, F.col("_b._v").alias(value), (-F.col("_b._n")).alias("n"))
 
 
-@query("route_templates", f"WITH {STEPS_SQL}, n AS (SELECT route_id, pos, region_id, count(*) AS n FROM st WHERE pos <= 8 GROUP BY 1, 2, 3) SELECT route_id, pos, region_id, n FROM (SELECT *, row_number() OVER (PARTITION BY route_id, pos ORDER BY n DESC, region_id) AS k FROM n) WHERE k = 1")
+def route_templates(rows: DataFrame) -> DataFrame:
+    """(route_id, pos, region_id, n, mean_dur, tracks): each route's most common region at each position (ties to the smaller), the mean time to
+    the next of all its tracks there (0 where none goes on), and how many tracks the route has."""
+    best = most_frequent(rows, ["route_id", "pos"], "region_id")
+    mean = rows.groupBy("route_id", "pos").agg(F.coalesce(F.avg("dur"), F.lit(0.0)).alias("mean_dur"))
+    size = rows.groupBy("route_id").agg(F.countDistinct("track_id").alias("tracks"))
+    return best.join(mean, ["route_id", "pos"]).join(size, "route_id")
+
+
+@query("route_templates", f"WITH {STEPS_SQL}, n AS (SELECT route_id, pos, region_id, count(*) AS n FROM st GROUP BY 1, 2, 3), d AS (SELECT route_id, pos, coalesce(avg(dur), 0) AS mean_dur FROM st GROUP BY 1, 2), z AS (SELECT route_id, count(DISTINCT track_id) AS tracks FROM st GROUP BY 1) SELECT route_id, pos, region_id, n, round(mean_dur, 4) AS mean_dur, tracks FROM (SELECT *, row_number() OVER (PARTITION BY route_id, pos ORDER BY n DESC, region_id) AS k FROM n) JOIN d USING (route_id, pos) JOIN z USING (route_id) WHERE k = 1")
 def _(t):
-    return most_frequent(steps(t.fx_r).where("pos <= 8"), ["route_id", "pos"], "region_id")
+    return route_templates(steps(t.fx_r)).withColumn("mean_dur", F.round("mean_dur", 4))
 
 
 MARKOV_SQL = f"{STEPS_SQL}, mn AS (SELECT region_id, nxt, count(*) AS n FROM st WHERE nxt IS NOT NULL AND track_id % 10 < 7 GROUP BY 1, 2), mk AS (SELECT region_id, nxt AS pred FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY n DESC, nxt) AS k FROM mn) WHERE k = 1), gb AS (SELECT nxt AS best FROM (SELECT nxt, sum(n) AS n FROM mn GROUP BY nxt) ORDER BY n DESC, nxt LIMIT 1)"
@@ -124,9 +133,17 @@ def leave_one_scene_out(segments: DataFrame, target: int) -> DataFrame:
     return s.where("(not target and train) or (target and not train)")
 
 
-@query("fewshot_tracks", "SELECT track FROM (SELECT track, row_number() OVER (ORDER BY md5('1001|' || CAST(track AS VARCHAR)), track) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT track FROM fx_s WHERE scene = 3)) WHERE k <= greatest(1, floor(n * 0.1))")
+def fewshot_tracks(df: DataFrame, track: str, within: tuple, ratios: tuple = (0.05, 0.1, 0.25), rep: int = 1) -> DataFrame:
+    """(within, ratio, track): for each ratio so many whole tracks of each target, at least one, in the order of md5(1000 + rep | track); a
+    larger ratio holds the smaller ones."""
+    ranked = hash_rank(df.select(*within, track).distinct(), [track], 1000 + rep, within)
+    each = ranked.withColumn("ratio", F.explode(F.array(*(F.lit(r) for r in ratios))))
+    return each.where(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("ratio")))).select(*within, "ratio", track)
+
+
+@query("fewshot_tracks", "SELECT scene, ratio, track FROM (SELECT scene, track, row_number() OVER (PARTITION BY scene ORDER BY md5('1001|' || CAST(track AS VARCHAR)), track) AS k, count(*) OVER (PARTITION BY scene) AS n FROM (SELECT DISTINCT scene, track FROM fx_s)) CROSS JOIN (VALUES (5e-2), (1e-1), (25e-2)) AS v(ratio) WHERE k <= greatest(1, floor(n * ratio))")
 def _(t):
-    return hash_rank(t.fx_s.where("scene = 3").select("track").distinct(), ["track"], 1001).where("_k <= greatest(1, floor(_n * 0.1))").select("track")
+    return fewshot_tracks(t.fx_s, "track", ("scene",))
 
 
 @query("topk_accuracy", "SELECT pos, round(avg(CASE WHEN pred_next = true_next THEN 1e0 ELSE 0e0 END), 6) AS top1, count(*) AS n FROM fx_pred GROUP BY pos")

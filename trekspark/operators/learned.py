@@ -221,11 +221,18 @@ def route_position_predict(test: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def ridge_duration(train: DataFrame, test: DataFrame, features: list[str], label: str = "dur_s", alpha: float = 1.0) -> DataFrame:
-    """``test`` with pred: ridge regression (penalty ``alpha`` on the sum of squares, none on the intercept), 0 at least."""
-    gather = VectorAssembler(inputCols=features, outputCol="_x")
-    n = train.count()
-    model = LinearRegression(featuresCol="_x", labelCol=label, predictionCol="_p", regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal").fit(gather.transform(train))
-    return model.transform(gather.transform(test)).withColumn("pred", F.greatest("_p", F.lit(0.0))).drop("_x", "_p")
+    """``test`` with pred: ridge regression (penalty ``alpha`` on the sum of squares, none on the intercept), 0 at least. Train rows with a
+    null feature or label are left out; test rows with a null feature have a null pred, and all have without a train row."""
+    gather = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
+    rows = gather.transform(train.where(F.col(label).isNotNull()))
+    n = rows.count()
+    nothing = lambda df: df.withColumn("pred", F.lit(None).cast("double"))
+    if not n:
+        return nothing(test)
+    model = LinearRegression(featuresCol="_x", labelCol=label, predictionCol="_p", regParam=alpha / n, elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
+    there = " AND ".join(f"`{c}` IS NOT NULL" for c in features)
+    known = model.transform(gather.transform(test.where(there))).withColumn("pred", F.greatest("_p", F.lit(0.0))).drop("_x", "_p")
+    return known.unionByName(nothing(test.where(f"NOT ({there})")))
 
 
 @query("ridge_duration", """WITH m AS (SELECT avg(up_m) AS u, avg(down_m) AS d, avg(dur_s) AS y, stddev_samp(dur_s) AS sd, count(*) AS n FROM fx_s WHERE track % 10 < 7),
@@ -237,11 +244,14 @@ def _(t):
     return out.groupBy("scene").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("dur_s"))), 2).alias("mae"))
 
 
-def knn_topk(queries: DataFrame, rows: DataFrame, k: int = 5, blocks: int = 4) -> DataFrame:
-    """(q, rank, id, dist): the ``k`` nearest rows (id, v array<double>) of each query (q, v) by Euclidean distance, ties to the
-    smaller id, a row of the query's own id left out. Query blocks meet row blocks; each pair gives k of each query."""
-    q = queries.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = rows.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+def knn_topk(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int = 2_000, row_block: int = 20_000) -> DataFrame:
+    """(q, rank, id, dist): the ``k`` nearest rows (id, v array<double>) of each query (q, v) by Euclidean distance to 9 decimals, ties to the
+    smaller id, a row of the query's own id left out. Blocks of about ``query_block`` queries meet blocks of about ``row_block`` rows,
+    whatever the tables' size; each pair gives k of each query. Queries and rows with a null vector take no part."""
+    queries, rows = queries.where("v IS NOT NULL"), rows.where("v IS NOT NULL")
+    many, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (rows, row_block)))
+    q = queries.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(many))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    r = rows.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -249,7 +259,7 @@ def knn_topk(queries: DataFrame, rows: DataFrame, k: int = 5, blocks: int = 4) -
         x, ids = np.stack(right.v), right.id.to_numpy()
         out = []
         for name, v in zip(left.q, left.v):
-            d = np.sqrt(((x - v) ** 2).sum(axis=1))
+            d = np.round(np.sqrt(((x - v) ** 2).sum(axis=1)), 9)
             d[ids == name] = np.inf
             best = np.lexsort((ids, d))[:k]
             out += [(name, ids[j], d[j]) for j in best if np.isfinite(d[j])]
@@ -273,9 +283,25 @@ def _(t):
     return _nearest(t).select("q", "rank", "id", F.round("dist", 5).alias("dist"))
 
 
-@query("knn_duration", f"WITH {KNN_SQL} SELECT q, avg(CAST(id % 50 AS DOUBLE)) AS pred FROM kn GROUP BY q")
+KNN_FEATURES = ("dist_m", "up_m", "down_m", "elev_mean", "tod_hour")
+_SCALED = ", ".join(f"avg({c}) AS m_{c}, greatest(stddev_pop({c}), 1e-9) AS s_{c}" for c in KNN_FEATURES)
+_NEAR = " + ".join(f"pow((q.{c} - r.{c}) / s_{c}, 2)" for c in KNN_FEATURES)
+
+
+def knn_duration(train: DataFrame, test: DataFrame, features: tuple, label: str = "dur_s", k: int = 5) -> DataFrame:
+    """(q, pred): the mean label of the ``k`` nearest train rows (id) of each test row (id), features scaled by their train mean and deviation. Rows with
+    a null feature, and train rows without a label, take no part."""
+    fit = train.agg(*(F.avg(c).alias(f"m_{c}") for c in features), *(F.greatest(F.stddev_pop(c), F.lit(1e-9)).alias(f"s_{c}") for c in features))
+    v = F.array(*((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in features))
+    scaled = lambda df: df.crossJoin(F.broadcast(fit)).select("id", F.when(~F.exists(v, lambda x: x.isNull()), v).alias("v"))  # noqa: E731  one row
+    near = knn_topk(scaled(test).withColumnRenamed("id", "q"), scaled(train.where(F.col(label).isNotNull())), k)
+    return near.join(train.select("id", label), "id").groupBy("q").agg(F.avg(label).alias("pred"))
+
+
+@query("knn_duration", f"WITH s AS (SELECT *, track * 101 + seg_idx AS id FROM fx_s), f AS (SELECT {_SCALED} FROM s WHERE track % 10 < 7), n AS (SELECT q.id AS q, r.id, r.dur_s, row_number() OVER (PARTITION BY q.id ORDER BY round(sqrt({_NEAR}), 9), r.id) AS k FROM s q JOIN s r ON q.track % 10 >= 7 AND q.id % 100 = 0 AND r.track % 10 < 7 CROSS JOIN f) SELECT q, round(avg(dur_s), 4) AS pred FROM n WHERE k <= 5 GROUP BY q")
 def _(t):
-    return _nearest(t).groupBy("q").agg(F.avg((F.col("id") % 50).cast("double")).alias("pred"))
+    s = t.fx_s.withColumn("id", F.col("track") * 101 + F.col("seg_idx"))  # queries: test rows whose id is divisible by 100
+    return knn_duration(s.where("track % 10 < 7"), s.where("track % 10 >= 7 AND id % 100 = 0"), KNN_FEATURES).withColumn("pred", F.round("pred", 4))
 
 
 # Scores
@@ -368,10 +394,13 @@ def _(t):
     return q.select("scene", F.round("davies_bouldin", 5).alias("davies_bouldin"), F.round("calinski_harabasz", 3).alias("calinski_harabasz"), F.round("silhouette", 5).alias("silhouette"))
 
 
-def drift_mmd(source: DataFrame, target: DataFrame, bandwidth: float, id_col: str = "id") -> DataFrame:
-    """RBF MMD^2 of two samples of at most 2,000 vectors each (v array<double>); the samples are the operator's bound."""
-    kernel = lambda a, b: F.exp(-F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / (2 * bandwidth))
-    mean = lambda a, b, name: a.select(F.col("v").alias("x")).crossJoin(b.select(F.col("v").alias("y"))).agg(F.avg(kernel("x", "y")).alias(name))
+def drift_mmd(source: DataFrame, target: DataFrame, id_col: str = "id") -> DataFrame:
+    """RBF MMD^2 of two samples of at most 2,000 vectors each (v array<double>); the samples are the operator's bound. The kernel is exp(-d2 / m)
+    with m the median positive squared distance within the source sample (1 where there is none)."""
+    d2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    met = lambda a, b: a.select(F.col(id_col).alias("i"), F.col("v").alias("x")).crossJoin(b.select(F.col(id_col).alias("j"), F.col("v").alias("y"))).select("i", "j", d2("x", "y").alias("d"))
+    width = met(source, source).where("i < j AND d > 0").agg(F.coalesce(F.percentile("d", 0.5), F.lit(1.0)).alias("m"))
+    mean = lambda a, b, name: met(a, b).crossJoin(F.broadcast(width)).agg(F.avg(F.exp(-F.col("d") / F.greatest("m", F.lit(1e-12)))).alias(name))  # noqa: E731  one row
     return mean(source, source, "ss").crossJoin(mean(target, target, "tt")).crossJoin(mean(source, target, "st")).select((F.col("ss") + F.col("tt") - 2 * F.col("st")).alias("mmd2"))
 
 
@@ -380,12 +409,13 @@ def hash_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(n)
 
 
-_MMD = "(SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 2 = {} ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 300)"
-_RBF = "(SELECT avg(exp(-list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) / 4e0)) FROM {} a CROSS JOIN {} b)"
+_MMD = "(SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 2 = {} ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 2000)"
+_D2 = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))"
+_RBF = f"(SELECT avg(exp(-{_D2} / m)) FROM {{}} a CROSS JOIN {{}} b CROSS JOIN w)"
 
 
-@query("drift_mmd", f"WITH s AS {_MMD.format(0)}, g AS {_MMD.format(1)} SELECT round({_RBF.format('s', 's')} + {_RBF.format('g', 'g')} - 2 * {_RBF.format('s', 'g')}, 6) AS mmd2")
+@query("drift_mmd", f"WITH s AS {_MMD.format(0)}, g AS {_MMD.format(1)}, w AS (SELECT coalesce(median(d), 1) AS m FROM (SELECT {_D2} AS d FROM s a JOIN s b ON a.vec_id < b.vec_id) WHERE d > 0) SELECT round({_RBF.format('s', 's')} + {_RBF.format('g', 'g')} - 2 * {_RBF.format('s', 'g')}, 6) AS mmd2")
 def _(t):
     e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    halves = [hash_sample(e.where(F.col("id") % 2 == k), "id", 300) for k in (0, 1)]
-    return drift_mmd(*halves, 2.0).select(F.round("mmd2", 6).alias("mmd2"))
+    halves = [hash_sample(e.where(F.col("id") % 2 == k), "id", 2_000) for k in (0, 1)]
+    return drift_mmd(*halves).select(F.round("mmd2", 6).alias("mmd2"))

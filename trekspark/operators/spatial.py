@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekspark.functions.geo import haversine_m, haversine_sql
-from trekspark.graph import components
+from trekspark.graph import components, discard, stored
 from trekspark.operators.trajectory import NEAREST_SQL, nearest_centroid
 from trekspark.plans.registry import query
 
@@ -49,19 +49,34 @@ def _(t):
 
 
 def project_to_path(poi: DataFrame, path: DataFrame, radius: float, candidates: int = 5) -> DataFrame:
-    """Each POI with the path point it snaps to: of the ``candidates`` planar nearest within ``radius``
-    degrees the one of least great-circle distance (to the millimetre, then the planar order). POIs
-    with no point in reach are dropped."""
-    met = near_pairs(poi.select("scene", "poi_id", "type_code", "lon", "lat"), path.select("scene", "track_id", "event_id", "lon", "lat", "ele"), radius)
-    order = Window.partitionBy("a_poi_id").orderBy("d", "b_track_id", "b_event_id")
-    some = met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= candidates)
+    """Each POI with the path point it snaps to: of the ``candidates`` planar nearest the one of least great-circle distance (to the
+    millimetre, then the planar order).
+
+    The search begins within ``radius`` degrees and doubles it for the POIs that have fewer points in reach, as long as their
+    scene has more, so only outlying POIs meet many points. POIs without a position or in a scene without path points are dropped."""
+    points = path.select("scene", "track_id", "event_id", "lon", "lat", "ele").where("lon IS NOT NULL AND lat IS NOT NULL")
+    enough = points.groupBy("scene").agg(F.least(F.lit(candidates), F.count("*")).alias("_enough"))
+    left = stored(poi.select("scene", "poi_id", "type_code", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL").join(enough, "scene"))
+    order, parts = Window.partitionBy("a_poi_id").orderBy("d", "b_track_id", "b_event_id"), []
+    while not left.isEmpty():
+        met = near_pairs(left, points, radius).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= candidates)
+        found = stored(met.withColumn("_n", F.count("*").over(Window.partitionBy("a_poi_id"))).where(F.col("_n") >= F.col("a__enough")).drop("_n"))
+        parts.append(found)
+        rest = stored(left.join(found.select(F.col("a_poi_id").alias("poi_id")).distinct(), "poi_id", "left_anti").select(*left.columns))
+        discard(left)
+        left, radius = rest, 2 * radius
+    if not parts:
+        parts = [near_pairs(left, points, radius).withColumn("_k", F.row_number().over(order))]
+    some = parts[0]
+    for x in parts[1:]:
+        some = some.unionByName(x)
     some = some.withColumn("_m", F.round(haversine_m("a_lon", "a_lat", "b_lon", "b_lat"), 3))
     best = some.groupBy("a_scene", "a_poi_id", "a_type_code").agg(F.min(F.struct("_m", "_k", "b_track_id", "b_event_id", "b_lon", "b_lat", "b_ele")).alias("_b"))
     return best.select(F.col("a_scene").alias("scene"), F.col("a_poi_id").alias("poi_id"), F.col("a_type_code").alias("type_code"), F.col("_b.b_track_id").alias("track_id"), F.col("_b.b_event_id").alias("event_id"), F.col("_b.b_lon").alias("lon"), F.col("_b.b_lat").alias("lat"), F.col("_b.b_ele").alias("ele"), F.col("_b._m").alias("path_m"))
 
 
 PATH_SQL = f"""pa AS (SELECT q.scene, q.poi_id, q.type_code, p.track_id, p.event_id, p.lon, p.lat, p.ele, round({haversine_sql('q.lon', 'q.lat', 'p.lon', 'p.lat')}, 3) AS path_m,
-row_number() OVER (PARTITION BY q.poi_id ORDER BY {planar_sql('q', 'p')}, p.track_id, p.event_id) AS k FROM fx_poi q JOIN fx_p p ON p.scene = q.scene WHERE {planar_sql('q', 'p')} <= 33e-5),
+row_number() OVER (PARTITION BY q.poi_id ORDER BY {planar_sql('q', 'p')}, p.track_id, p.event_id) AS k FROM fx_poi q JOIN fx_p p ON p.scene = q.scene),
 pp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY path_m, k) AS j FROM pa WHERE k <= 5) WHERE j = 1)"""
 
 
@@ -77,11 +92,11 @@ def _(t):
     return t.fx_poi.select("poi_id").join(best, "poi_id", "left")
 
 
-@query("projection_summary", f"WITH {PATH_SQL} SELECT scene, count(*) AS n, round(quantile_cont(path_m, 0.1), 4) AS p10, round(quantile_cont(path_m, 0.5), 4) AS p50, round(quantile_cont(path_m, 0.9), 4) AS p90, round(avg(CASE WHEN path_m <= 10 THEN 1e0 ELSE 0e0 END), 6) AS near FROM pp GROUP BY scene")
+@query("projection_summary", f"WITH {PATH_SQL} SELECT scene, count(*) AS n, round(quantile_cont(path_m, 0.1), 4) AS p10, round(quantile_cont(path_m, 0.5), 4) AS p50, round(quantile_cont(path_m, 0.9), 4) AS p90, round(avg(CASE WHEN path_m <= 50 THEN 1e0 ELSE 0e0 END), 6) AS near FROM pp GROUP BY scene")
 def _(t):
     p = project_to_path(t.fx_poi, t.fx_p, 33e-5)
     quantile = lambda q: F.round(F.percentile("path_m", q), 4)
-    return p.groupBy("scene").agg(F.count("*").alias("n"), quantile(0.1).alias("p10"), quantile(0.5).alias("p50"), quantile(0.9).alias("p90"), F.round(F.avg((F.col("path_m") <= 10).cast("double")), 6).alias("near"))
+    return p.groupBy("scene").agg(F.count("*").alias("n"), quantile(0.1).alias("p10"), quantile(0.5).alias("p50"), quantile(0.9).alias("p90"), F.round(F.avg((F.col("path_m") <= 50).cast("double")), 6).alias("near"))
 
 
 def region_anchors(projected: DataFrame, centroids: DataFrame, near_m: float) -> DataFrame:
@@ -92,9 +107,9 @@ def region_anchors(projected: DataFrame, centroids: DataFrame, near_m: float) ->
     return p.groupBy("scene", "region_id").agg(middle("lon").alias("lon"), middle("lat").alias("lat"), F.count("*").alias("n"), F.count(F.when(near, 1)).alias("n_near"))
 
 
-@query("region_anchors", f"WITH {PATH_SQL}, c AS (SELECT pp.*, f.region_id, row_number() OVER (PARTITION BY poi_id ORDER BY {planar_sql('f', 'pp')}, f.region_id) AS r FROM pp JOIN fx_c f ON f.scene = pp.scene) SELECT scene, region_id, round(coalesce(median(CASE WHEN path_m <= 10 THEN lon END), median(lon)), 6) AS lon, round(coalesce(median(CASE WHEN path_m <= 10 THEN lat END), median(lat)), 6) AS lat, count(*) AS n, count(CASE WHEN path_m <= 10 THEN 1 END) AS n_near FROM c WHERE r = 1 GROUP BY 1, 2")
+@query("region_anchors", f"WITH {PATH_SQL}, c AS (SELECT pp.*, f.region_id, row_number() OVER (PARTITION BY poi_id ORDER BY {planar_sql('f', 'pp')}, f.region_id) AS r FROM pp JOIN fx_c f ON f.scene = pp.scene) SELECT scene, region_id, round(coalesce(median(CASE WHEN path_m <= 100 THEN lon END), median(lon)), 6) AS lon, round(coalesce(median(CASE WHEN path_m <= 100 THEN lat END), median(lat)), 6) AS lat, count(*) AS n, count(CASE WHEN path_m <= 100 THEN 1 END) AS n_near FROM c WHERE r = 1 GROUP BY 1, 2")
 def _(t):
-    return region_anchors(project_to_path(t.fx_poi, t.fx_p, 33e-5), t.fx_c, 10.0).withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)})
+    return region_anchors(project_to_path(t.fx_poi, t.fx_p, 33e-5), t.fx_c, 100.0).withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)})
 
 
 def dem_bilinear(points: DataFrame, cells: DataFrame, west: Column, north: Column, step: float, keys: list[str]) -> DataFrame:

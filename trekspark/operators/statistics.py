@@ -135,10 +135,22 @@ def _(t):
     return most_frequent(s, ["route_id"], "seq")
 
 
-@query("fit_normalizers", f"WITH {STEPS_SQL} SELECT scene, round(avg(dur), 4) AS mean_dur, round(stddev_pop(dur), 4) AS sd_dur, round(quantile_cont(dur, 95e-2), 4) AS p95_dur FROM st WHERE nxt IS NOT NULL AND track_id % 10 < 7 GROUP BY scene")
+def fit_normalizers(rows: DataFrame, keys: list[str], features: list[str], tails: tuple = ()) -> DataFrame:
+    """Per key mean_ and sd_ of each feature over the (train) rows, and p95_ of those in ``tails``; nulls do not count."""
+    fits = [f(c).alias(f"{n}_{c}") for c in features for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    return rows.groupBy(*keys).agg(*fits, *(F.percentile(c, 0.95).alias(f"p95_{c}") for c in tails))
+
+
+@query("fit_normalizers", f"""WITH {STEPS_SQL}, d AS (SELECT scene, round(avg(dur), 4) AS mean_dur, round(stddev_pop(dur), 4) AS sd_dur, round(quantile_cont(dur, 95e-2), 4) AS p95_dur FROM st WHERE nxt IS NOT NULL AND track_id % 10 < 7 GROUP BY scene),
+g AS (SELECT scene, round(avg(lat), 4) AS mean_lat, round(stddev_pop(lat), 4) AS sd_lat, round(avg(lon), 4) AS mean_lon, round(stddev_pop(lon), 4) AS sd_lon, round(avg(ele), 4) AS mean_ele, round(stddev_pop(ele), 4) AS sd_ele FROM fx_p WHERE track_id % 10 < 7 GROUP BY scene),
+e AS (SELECT scene, round(avg(up_m), 4) AS mean_up_m, round(stddev_pop(up_m), 4) AS sd_up_m, round(avg(mean_grade), 4) AS mean_mean_grade, round(stddev_pop(mean_grade), 4) AS sd_mean_grade FROM fx_s WHERE track % 10 < 7 GROUP BY scene)
+SELECT * FROM d LEFT JOIN g USING (scene) LEFT JOIN e USING (scene)""")
 def _(t):
-    s = steps(t.fx_r).where("nxt is not null and track_id % 10 < 7")
-    return s.groupBy("scene").agg(F.round(F.avg("dur"), 4).alias("mean_dur"), F.round(F.stddev_pop("dur"), 4).alias("sd_dur"), F.round(F.percentile("dur", 0.95), 4).alias("p95_dur"))
+    times = fit_normalizers(steps(t.fx_r).where("nxt is not null and track_id % 10 < 7"), ["scene"], ["dur"], ("dur",))
+    places = fit_normalizers(t.fx_p.where("track_id % 10 < 7"), ["scene"], ["lat", "lon", "ele"])
+    ways = fit_normalizers(t.fx_s.where("track % 10 < 7"), ["scene"], ["up_m", "mean_grade"])
+    out = times.join(places, "scene", "left").join(ways, "scene", "left")
+    return out.select("scene", *(F.round(c, 4).alias(c) for c in out.columns if c != "scene"))
 
 
 def markov_rollout(test: DataFrame, train: DataFrame, prefix: int = 2) -> DataFrame:
@@ -182,11 +194,14 @@ def _(t):
     return c.groupBy("scene").agg(F.count("*").alias("n"), F.round(F.avg((F.abs("e") <= 1.6449 * F.col("s")).cast("double")), 5).alias("picp90"), F.round(F.avg(2 * 1.6449 * F.col("s")) / 60, 4).alias("width_min"))
 
 
-@query("residual_correlation", "WITH z AS (SELECT track_id, pos, (true_dur - mu) / sigma AS z FROM fx_pred WHERE sigma IS NOT NULL) SELECT a.pos AS p, b.pos AS q, round(corr(a.z, b.z), 6) AS r, count(*) AS n FROM z a JOIN z b ON a.track_id = b.track_id AND a.pos < b.pos GROUP BY 1, 2 HAVING count(*) >= 10")
+@query("residual_correlation", "WITH z AS (SELECT track_id, pos, (true_dur - mu) / sigma AS z FROM fx_pred WHERE sigma IS NOT NULL) , c AS (SELECT a.pos AS p, b.pos AS q, corr(a.z, b.z) AS r, count(*) AS n FROM z a JOIN z b ON a.track_id = b.track_id AND a.pos < b.pos GROUP BY 1, 2 HAVING count(*) >= 10) SELECT p, q, round(r, 6) AS r, n, round(avg(abs(r)) OVER (), 6) AS mean_abs, round(avg(CASE WHEN q = p + 1 THEN abs(r) END) OVER (), 6) AS mean_adjacent FROM c")
 def _(t):
     z = t.fx_pred.where("sigma is not null").select("track_id", "pos", ((F.col("true_dur") - F.col("mu")) / F.col("sigma")).alias("z"))
     pairs = z.select("track_id", F.col("pos").alias("p"), F.col("z").alias("x")).join(z.select("track_id", F.col("pos").alias("q"), F.col("z").alias("y")), "track_id").where("p < q")
-    return pairs.groupBy("p", "q").agg(F.round(F.corr("x", "y"), 6).alias("r"), F.count("*").alias("n")).where("n >= 10")
+    c = pairs.groupBy("p", "q").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n")).where("n >= 10")
+    all_ = Window.partitionBy(F.lit(1))  # a row for each pair of positions
+    mean = lambda x: F.round(F.avg(x).over(all_), 6)
+    return c.select("p", "q", F.round("r", 6).alias("r"), "n", mean(F.abs("r")).alias("mean_abs"), mean(F.when(F.col("q") == F.col("p") + 1, F.abs("r"))).alias("mean_adjacent"))
 
 
 def cluster_agreement(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -248,9 +263,17 @@ def rank_correlations(df: DataFrame) -> DataFrame:
     return r.agg(F.corr("x", "y").alias("xy"), F.corr("x", "z").alias("xz"), F.corr("y", "z").alias("yz"))
 
 
-@query("spearman_bootstrap", f"WITH {SCENES_SQL} SELECT round(xy, 6) AS rho FROM co")
+DRAWS_SQL = """, vr AS (SELECT x, y, row_number() OVER (ORDER BY target) - 1 AS k, count(*) OVER () AS n FROM (SELECT target, avg(CASE WHEN grp = 'full' THEN mae_min END) AS x, avg(CASE WHEN grp = 'no_slope' THEN mae_min END) AS y FROM fx_res GROUP BY target)),
+sp AS (SELECT draw, i, CAST('0x' || substr(md5('42|' || draw || '|' || i), 1, 8) AS BIGINT) % n AS k FROM (SELECT max(n) AS n FROM vr) CROSS JOIN (SELECT unnest(range(2000)) AS draw) CROSS JOIN (SELECT unnest(range(1, 1000)) AS i) WHERE i <= n),
+bk AS (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY x) + (count(*) OVER (PARTITION BY draw, x) - 1) / 2e0 AS x, rank() OVER (PARTITION BY draw ORDER BY y) + (count(*) OVER (PARTITION BY draw, y) - 1) / 2e0 AS y FROM sp JOIN vr USING (k)),
+bs AS (SELECT quantile_cont(rho, 25e-3) AS low, quantile_cont(rho, 975e-3) AS high FROM (SELECT draw, corr(x, y) AS rho FROM bk GROUP BY 1))"""
+
+
+@query("spearman_bootstrap", f"WITH {SCENES_SQL}{DRAWS_SQL} SELECT round(xy, 6) AS rho, round(low, 6) AS low, round(high, 6) AS high FROM co CROSS JOIN bs")
 def _(t):
-    return rank_correlations(scene_values(t.fx_res)).select(F.round("xy", 6).alias("rho"))
+    values = scene_values(t.fx_res)
+    rho = rank_correlations(values).select(F.round("xy", 6).alias("rho"))
+    return rho.crossJoin(spearman_interval(values, "target").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high")))  # one row each
 
 
 def spearman_interval(df: DataFrame, key: str, draws: int = 2000, seed: int = 42) -> DataFrame:
@@ -258,7 +281,8 @@ def spearman_interval(df: DataFrame, key: str, draws: int = 2000, seed: int = 42
     rows = df.select("x", "y", (F.row_number().over(Window.orderBy(key)) - 1).alias("k"))  # a result table
     n = rows.agg(F.count("*").alias("n"))
     spots = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(n).withColumn("i", F.explode(F.expr("sequence(1, cast(n as int))")))
-    picked = spots.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "draw", "i"), F.col("n"))).join(rows, "k")
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "i")), 1, 8), 16, 10).cast("long")
+    picked = spots.withColumn("k", pick % F.col("n")).join(rows, "k")
     rank = lambda c: F.rank().over(Window.partitionBy("draw").orderBy(c)) + (F.count("*").over(Window.partitionBy("draw", c)) - 1) / 2
     rho = picked.select("draw", rank("x").alias("x"), rank("y").alias("y")).groupBy("draw").agg(F.corr("x", "y").alias("rho"))
     return rho.agg(F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high"))
@@ -301,6 +325,8 @@ def wilcoxon(diffs: DataFrame) -> DataFrame:
     return few.select("n", "w", "ranks").mapInPandas(exact, "n long, w double, p double").unionByName(many.select("n", "w", "p"))
 
 
-@query("wilcoxon_signed_rank", f"WITH {PAIRS_SQL}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2e0 AS r FROM sd WHERE d <> 0) SELECT count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0e0 END), sum(CASE WHEN d < 0 THEN r ELSE 0e0 END)) AS w FROM r")
+@query("wilcoxon_signed_rank", f"""WITH RECURSIVE {PAIRS_SQL}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2e0 AS r FROM sd WHERE d <> 0) , s AS (SELECT count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0e0 END), sum(CASE WHEN d < 0 THEN r ELSE 0e0 END)) AS w FROM r),
+k AS (SELECT CAST(2 * r AS INT) AS r, row_number() OVER (ORDER BY r) AS i FROM r), u AS (SELECT 0 AS i, 0 AS s, CAST(1 AS DOUBLE) AS c UNION ALL SELECT g.i, g.s, sum(g.c) FROM (SELECT u.i + 1 AS i, u.s + e.b * k.r AS s, u.c FROM u JOIN k ON k.i = u.i + 1 CROSS JOIN (VALUES (0), (1)) AS e(b)) g GROUP BY 1, 2)
+SELECT s.n, s.w, round(least(1e0, (SELECT 2 * sum(c) FROM u, s WHERE u.i = s.n AND u.s <= 2 * s.w) / pow(2e0, s.n)), 9) AS p FROM s""")
 def _(t):
-    return wilcoxon(paired_differences(t.fx_res, "no_slope", "full")).select("n", "w")
+    return wilcoxon(paired_differences(t.fx_res, "no_slope", "full")).withColumn("p", F.round("p", 9))

@@ -92,13 +92,20 @@ def distance_segments(points: DataFrame, length_m: float = 500.0) -> DataFrame:
 
     def cut(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["t_s", "event_id"])
-        seg, since, out = 0, 0.0, []
-        for hop in g.hop_m.fillna(0.0):
-            since += hop
-            if since >= length_m:
-                seg, since = seg + 1, 0.0
-            out.append(seg)
-        return pd.DataFrame({"track_id": g.track_id, "event_id": g.event_id, "seg": np.array(out, np.int32)})
+        hops, starts, at = g.hop_m.fillna(0.0).to_numpy(), [], 0
+        gone = np.concatenate([[0.0], np.cumsum(hops)])
+        while at < len(hops):  # a round a segment: the running sum names hops that surely are not enough, the sum from the segment's start decides
+            near = max(at, int(np.searchsorted(gone, gone[at] + length_m * (1 - 1e-9))) - 1)
+            since = float(np.add.accumulate(hops[at:near])[-1]) if near > at else 0.0
+            while near < len(hops) and since < length_m:
+                since, near = since + hops[near], near + 1
+            if since < length_m:
+                break
+            starts.append(near - 1)
+            at = near
+        seg = np.zeros(len(hops), np.int32)
+        seg[starts] = 1
+        return pd.DataFrame({"track_id": g.track_id, "event_id": g.event_id, "seg": np.cumsum(seg, dtype=np.int32)})
 
     hops = hop_metres(points).select("track_id", "event_id", "t_s", "hop_m")
     return hops.groupBy("track_id").applyInPandas(cut, "track_id long, event_id long, seg int")

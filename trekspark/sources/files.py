@@ -28,9 +28,11 @@ def read_track_csv(spark: SparkSession, path: str, required: tuple = TRACK_COLUM
     for header in names:
         if missing := set(required) - set(header):
             raise ValueError(f"columns missing: {sorted(missing)}")
-    rows = lines.where(~is_header).join(headers, "file").where(F.size("fields") == F.size("header")).select(F.map_from_arrays("header", "fields").alias("m"))
+    rows = lines.where(~is_header).join(headers, "file").where(F.size("fields") == F.size("header"))
     every = sorted({x for header in names for x in header})
-    out = rows.select(*((F.col("m")[c].try_cast("double") if c in numbers else F.col("m")[c]).alias(c) for c in every))
+    at = lambda c: F.get("fields", F.array_position("header", c).cast("int") - 1)  # noqa: E731  the first of a name that is repeated, null where there is none
+    value = lambda c: F.when(F.array_contains("header", c), at(c))
+    out = rows.select(*((value(c).try_cast("double") if c in numbers else value(c)).alias(c) for c in every))
     return out.where("lon is not null and lat is not null") if every else out
 
 
