@@ -96,21 +96,6 @@ def _(t):
     return flat_step_features(t.fx_r)
 
 
-def causal_edges(records: DataFrame, within: int = 4) -> DataFrame:
-    """(track_id, kind, j, k): edges from a step to a later one of its track, at most ``within`` steps on (strictly j < k):
-    the next step, and steps of the same four-hour bin."""
-    s = records.select("track_id", "pos", F.floor((F.col("t_s") / 3600) % 24 / 4).alias("bin"))
-    later = s.withColumn("j", F.explode(F.sequence(F.greatest(F.col("pos") - within, F.lit(1)), F.col("pos") - 1))).where("pos > 1")
-    met = later.alias("b").join(s.alias("a"), (F.col("a.track_id") == F.col("b.track_id")) & (F.col("a.pos") == F.col("b.j")))
-    kinds = F.array_compact(F.array(F.when(F.col("b.pos") == F.col("b.j") + 1, "next"), F.when(F.col("a.bin") == F.col("b.bin"), "bin")))
-    return met.select("b.track_id", F.explode(kinds).alias("kind"), "j", F.col("b.pos").alias("k"))
-
-
-@query("edge_causal_flags", f"WITH {STEPS_SQL}, s AS (SELECT track_id, pos, floor((t_s / 36e2) % 24 / 4) AS bin FROM st), e AS (SELECT b.track_id, a.pos AS j, b.pos AS k, a.bin = b.bin AS same FROM s a JOIN s b ON a.track_id = b.track_id AND a.pos < b.pos AND b.pos - a.pos <= 4) SELECT track_id, 'next' AS kind, j, k FROM e WHERE k = j + 1 UNION ALL SELECT track_id, 'bin', j, k FROM e WHERE same")
-def _(t):
-    return causal_edges(steps(t.fx_r).where("pos is not null"))
-
-
 # Route forecasts
 
 
