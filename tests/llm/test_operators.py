@@ -174,6 +174,12 @@ def test_lines_that_stay(spark):
     assert all(r.n_chars == len(r.text) for r in out.values() if r.text)
 
 
+def test_columns_named_like_the_line_stage_s_own(spark):
+    docs = spark.createDataFrame([(1, "one two\nthree", "a", True, 5), (2, "one two", "b", False, 6)], "doc_id long, text string, _dropped string, _copy boolean, line_no int")
+    got = sorted(map(tuple, line_dedup.drop_repeated_lines(docs).collect()))
+    assert got == [(1, "one two\nthree", "a", True, 5), (2, "", "b", False, 6)]
+
+
 def test_repeated_rows_and_null_ids_of_lines(spark):
     rows = [(1, "one two\nthree"), (1, "one two\nthree"), (None, "one two"), (None, "one two"), ((1 << 53) + 1, "other line"), ((1 << 53) + 3, "other line")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
