@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from trekspark.llm.common import read_table, with_columns
+from trekspark.llm.license_rules import WRITTEN
 
 # The base phrases and their labels.
 BASE = {
@@ -108,7 +109,8 @@ class Rule:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """More than five hundred rules, in order: each family's identifiers, grants and names, with and without version."""
+    """The rules, in order: each family's identifiers, grants and names, with and without version, then the sentences, headers,
+    notices, exceptions and references that are written one by one."""
     out = []
 
     def add(label: str, keyword: str, pattern: str, priority: int) -> None:
@@ -129,7 +131,7 @@ def rules() -> tuple[Rule, ...]:
         for v in versions:
             add(f"{label}-{v}", "spdx", f"spdx licen[sc]e identifier {stem} {v.replace('.', ' ').replace('-', ' ')}(?: or later| only)?", 100)
         add(label, "spdx", f"spdx licen[sc]e identifier {stem}", 95)
-    for label, keyword, pattern, priority in PHRASES:
+    for label, keyword, pattern, priority in [*PHRASES, *WRITTEN]:
         add(label, keyword, pattern, priority)
     return tuple(out)
 
@@ -175,14 +177,17 @@ def normal_words(text: str | None) -> str:
     return f" {b' '.join(words).decode('utf-8', 'surrogatepass')} " if words else " "
 
 
+def matches(normal: str, gated: bool = True) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, label, priority, rule order) of each match of the rules whose keyword is in ``normal``; of all rules if not
+    ``gated``, which gives the same matches."""
+    here = {k for _, k in _gate().iter(normal)}
+    return [(m.start(), m.end(), r.label, r.priority, order) for order, r in enumerate(rules()) if not gated or r.keyword in here for m in r.pattern.finditer(normal)]
+
+
 def detections(normal: str) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) in characters of ``normal_words``, after suppression: a detection
     goes if another's interval contains its own and that one has a higher priority, or the same and is longer or earlier in rule order."""
-    here = {k for _, k in _gate().iter(normal)}
-    found = []
-    for order, r in enumerate(rules()):
-        if r.keyword in here:
-            found += [(m.start(), m.end(), r.label, r.priority, order) for m in r.pattern.finditer(normal)]
+    found = matches(normal)
     found.sort(key=lambda x: (-x[3], -(x[1] - x[0]), x[4], x[0]))
     longest = max((x[1] - x[0] for x in found), default=0)
     kept: dict[int, list[tuple]] = {}  # by start // 256, so that only near intervals are compared
