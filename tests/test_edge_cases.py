@@ -1,5 +1,6 @@
 """Hand-computed cases."""
 
+import math
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,12 @@ def test_pois_far_from_the_path_snap_too(spark):
         if near:
             want[i] = min((metres((x, y), n[3:]), k, n[1:3]) for k, n in enumerate(near))[2]
     assert got == want and len(got) == 105
+
+
+def test_correlation_of_a_constant_is_nan(spark):
+    """Copies of one track have the same residual at a position, where corr raised a division by zero."""
+    from trekspark.operators.statistics import correlation
+
+    rows = [(0, 1.0, 2.0), (0, 1.0, 5.0), (1, 1.0, 2.0), (1, 2.0, 4.5), (1, 3.0, 5.0), (1, None, 9.0)]
+    got = {x.g: x.r for x in spark.createDataFrame(rows, "g int, x double, y double").groupBy("g").agg(correlation("x", "y").alias("r")).collect()}
+    assert math.isnan(got[0]) and abs(got[1] - 0.9332565252573828) < 1e-9

@@ -194,11 +194,18 @@ def _(t):
     return c.groupBy("scene").agg(F.count("*").alias("n"), F.round(F.avg((F.abs("e") <= 1.6449 * F.col("s")).cast("double")), 5).alias("picp90"), F.round(F.avg(2 * 1.6449 * F.col("s")) / 60, 4).alias("width_min"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r of the rows that have both; NaN where a side is constant, for which corr raises a division by zero."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.when(spread == 0, float("nan")).otherwise(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+
+
 @query("residual_correlation", "WITH z AS (SELECT track_id, pos, (true_dur - mu) / sigma AS z FROM fx_pred WHERE sigma IS NOT NULL) , c AS (SELECT a.pos AS p, b.pos AS q, corr(a.z, b.z) AS r, count(*) AS n FROM z a JOIN z b ON a.track_id = b.track_id AND a.pos < b.pos GROUP BY 1, 2 HAVING count(*) >= 10) SELECT p, q, round(r, 6) AS r, n, round(avg(abs(r)) OVER (), 6) AS mean_abs, round(avg(CASE WHEN q = p + 1 THEN abs(r) END) OVER (), 6) AS mean_adjacent FROM c")
 def _(t):
     z = t.fx_pred.where("sigma is not null").select("track_id", "pos", ((F.col("true_dur") - F.col("mu")) / F.col("sigma")).alias("z"))
     pairs = z.select("track_id", F.col("pos").alias("p"), F.col("z").alias("x")).join(z.select("track_id", F.col("pos").alias("q"), F.col("z").alias("y")), "track_id").where("p < q")
-    c = pairs.groupBy("p", "q").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n")).where("n >= 10")
+    c = pairs.groupBy("p", "q").agg(correlation("x", "y").alias("r"), F.count("*").alias("n")).where("n >= 10")
     all_ = Window.partitionBy(F.lit(1))  # a row for each pair of positions
     mean = lambda x: F.round(F.avg(x).over(all_), 6)
     return c.select("p", "q", F.round("r", 6).alias("r"), "n", mean(F.abs("r")).alias("mean_abs"), mean(F.when(F.col("q") == F.col("p") + 1, F.abs("r"))).alias("mean_adjacent"))
@@ -260,7 +267,7 @@ def scene_values(results: DataFrame) -> DataFrame:
 def rank_correlations(df: DataFrame) -> DataFrame:
     """One row xy, xz, yz of rank correlations of columns x, y, z."""
     r = df.select(*(average_rank(c).alias(c) for c in "xyz"))
-    return r.agg(F.corr("x", "y").alias("xy"), F.corr("x", "z").alias("xz"), F.corr("y", "z").alias("yz"))
+    return r.agg(correlation("x", "y").alias("xy"), correlation("x", "z").alias("xz"), correlation("y", "z").alias("yz"))
 
 
 DRAWS_SQL = """, vr AS (SELECT x, y, row_number() OVER (ORDER BY target) - 1 AS k, count(*) OVER () AS n FROM (SELECT target, avg(CASE WHEN grp = 'full' THEN mae_min END) AS x, avg(CASE WHEN grp = 'no_slope' THEN mae_min END) AS y FROM fx_res GROUP BY target)),
@@ -284,7 +291,7 @@ def spearman_interval(df: DataFrame, key: str, draws: int = 2000, seed: int = 42
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "i")), 1, 8), 16, 10).cast("long")
     picked = spots.withColumn("k", pick % F.col("n")).join(rows, "k")
     rank = lambda c: F.rank().over(Window.partitionBy("draw").orderBy(c)) + (F.count("*").over(Window.partitionBy("draw", c)) - 1) / 2
-    rho = picked.select("draw", rank("x").alias("x"), rank("y").alias("y")).groupBy("draw").agg(F.corr("x", "y").alias("rho"))
+    rho = picked.select("draw", rank("x").alias("x"), rank("y").alias("y")).groupBy("draw").agg(correlation("x", "y").alias("rho"))
     return rho.agg(F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high"))
 
 
