@@ -1,6 +1,7 @@
 """Boosted and quantile forecasts, probes, ladders and retrieval: planted data, plain references, nulls, empty tables."""
 
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trekspark.operators import boosting
+from trekspark.operators.expressions import exact_quantiles
 from trekspark.operators.boosting import benchmark_rows, fit_boosted, memory_prior, quantile_duration, residual_quantiles, retrieve_completion, scene_probe, source_estimator_grid, two_stage_duration
 
 ROWS = "track long, x double, y double, z double, dur_s double, _x int, pred0 int"
@@ -144,3 +146,32 @@ def test_memory_moves_the_label(spark):
     truth = spark.createDataFrame([(1, 7)], "q long, label int")
     got = {x["lambda"]: (x.hits, x.best) for x in memory_prior(near, scores, truth, (0.0, 0.5, 1.0)).collect()}
     assert got == {0.0: (0, False), 0.5: (1, True), 1.0: (1, False)}
+
+
+def test_quantiles_are_exact_beyond_the_sketch(spark):
+    """Residuals of more rows than a sketch of 100,000 keeps, many of them equal."""
+    df = spark.range(400_000).select((F.pmod(F.xxhash64("id"), F.lit(300_007)) / 7).alias("pred"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).cast("double").alias("_r"))
+    df = df.select("pred", (F.col("pred") + F.when(F.col("_r") < 300, 3.0).otherwise(F.col("_r"))).alias("dur_s"))
+    rows = df.toPandas()
+    at = lambda v, q: np.sort(v)[max(1, len(v) - math.floor(len(v) - len(v) * q)) - 1]
+    edges = np.array([at(rows.pred.to_numpy(), k / 4) for k in range(1, 4)])
+    bins = (edges[None] < rows.pred.to_numpy()[:, None]).sum(1)
+    got = {x.bin: x for x in residual_quantiles(df, bins=4).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for b, x in got.items():
+        own = (rows.dur_s - rows.pred).to_numpy()[bins == b]
+        assert x.low == (None if b == 0 else edges[b - 1]) and x.n == len(own)
+        assert x.q == [at(own, q) for q in boosting.LEVELS]
+
+
+def test_exact_quantiles_of_keys_and_small_tables(spark):
+    r = random.Random(8)
+    rows = [(k % 3, None if k % 50 == 0 else r.choice([1.0, 2.5, r.gauss(0, 9)])) for k in range(4000)] + [(9, 4.0), (8, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    levels = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0]
+    for accuracy in (60, 20_000):
+        got = {x.g: x.q for x in exact_quantiles(df, ["g"], "v", levels, True, accuracy).collect()}
+        assert sorted(got) == [0, 1, 2, 9]
+        for g, q in got.items():
+            assert q == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], levels).tolist())
+    assert [x.q for x in exact_quantiles(df.where("g = 8"), [], "v", levels, True).collect()] == [None]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekspark.graph import stored
-from trekspark.operators.expressions import FEATURE_GROUPS, FEATURES, STEPS_SQL, steps
+from trekspark.operators.expressions import FEATURE_GROUPS, FEATURES, STEPS_SQL, exact_quantiles, steps
 from trekspark.operators.forecast import MARKOV_SQL, most_frequent, markov_next, pair_prior
 from trekspark.operators.learned import knn_topk
 from trekspark.operators.statistics import markov_rollout, prefix_rows
@@ -101,15 +101,15 @@ def _(t):
 
 
 def residual_quantiles(held: DataFrame, label: str = "dur_s", bins: int = 10, levels: tuple = LEVELS) -> DataFrame:
-    """(bin, low, q): of held out rows with ``pred``, the quantiles of the residuals of each of ``bins`` ranges of predicted values.
-    Ranges and quantiles are sketches that combine before they are shuffled (within a hundred-thousandth of the rows). low: the range's smallest prediction, null for
-    the first."""
-    rows = held.where(F.col("pred").isNotNull() & F.col(label).isNotNull())
-    edges = rows.agg(F.percentile_approx("pred", [k / bins for k in range(1, bins)], 100_000).alias("_e"))
+    """(bin, low, q, n): of held out rows with ``pred``, the quantiles of the residuals of each of ``bins`` ranges of predicted values, exact
+    at any size. low: the range's smallest prediction, null for the first."""
+    rows = stored(held.where(F.col("pred").isNotNull() & F.col(label).isNotNull()).select("pred", F.col(label).alias("_y")))
+    edges = stored(exact_quantiles(rows, [], "pred", [k / bins for k in range(1, bins)], False).withColumnRenamed("q", "_e"))
     met = rows.crossJoin(F.broadcast(edges))  # one row
-    placed = met.withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col("pred"))))
-    q = F.percentile_approx(F.col(label) - F.col("pred"), list(levels), 100_000)
-    return placed.groupBy("bin").agg(F.get(F.first("_e"), F.col("bin") - 1).alias("low"), q.alias("q"), F.count("*").alias("n"))
+    placed = stored(met.select(F.size(F.filter("_e", lambda e: e < F.col("pred"))).alias("bin"), (F.col("_y") - F.col("pred")).alias("_r")))
+    q = exact_quantiles(placed, ["bin"], "_r", list(levels), False)
+    n = placed.groupBy("bin").agg(F.count("*").alias("n")).crossJoin(F.broadcast(edges)).select("bin", F.get("_e", F.col("bin") - 1).alias("low"), "n")
+    return n.join(q, "bin").select("bin", "low", "q", "n")
 
 
 def quantile_duration(test: DataFrame, table: DataFrame, levels: tuple = LEVELS) -> DataFrame:
