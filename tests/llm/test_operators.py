@@ -406,3 +406,19 @@ def test_empty_tables(spark):
     assert packing.pack(none).count() == 0
     assert license_scan.scan(none).count() == 0
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
+def test_no_link_of_long_lines_is_lost(spark):
+    """All pairs at the threshold, alone in their groups, so that no other link joins them."""
+    r = random.Random(14)
+    vocabulary = words(15, 20000).split()
+    texts = []
+    for size in (15, 20, 30, 60, 400):
+        for _ in range(60):
+            line = r.sample(vocabulary, size)
+            near = list(line)
+            for at in r.sample(range(size), size // 5):
+                near[at] = r.choice(vocabulary)
+            texts += [" ".join(line), " ".join(near)]
+    got = {x.doc_id: x.group_doc_id for x in line_dedup.line_groups(docs_of(spark, texts)).collect()}
+    assert [k for k in range(0, len(texts), 2) if got[k] != got[k + 1]] == []
