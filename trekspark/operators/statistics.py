@@ -174,7 +174,7 @@ def markov_rollout(test: DataFrame, train: DataFrame, prefix: int = 2) -> DataFr
 
 @query("markov_rollout", f"WITH RECURSIVE {MARKOV_SQL}, ln AS (SELECT track_id, max(pos) AS n FROM st GROUP BY 1), ro AS (SELECT track_id, pos, region_id AS cur FROM st WHERE pos = 2 AND track_id % 10 >= 7 UNION ALL SELECT ro.track_id, CAST(ro.pos + 1 AS INT), coalesce(mk.pred, gb.best) FROM ro JOIN ln ON ln.track_id = ro.track_id LEFT JOIN mk ON mk.region_id = ro.cur CROSS JOIN gb WHERE ro.pos < ln.n) SELECT track_id, pos, cur AS pred FROM ro WHERE pos > 2")
 def _(t):
-    s = steps(t.fx_r)
+    s = stored(steps(t.fx_r).select("track_id", "pos", "region_id", "nxt"))  # read five times
     return markov_rollout(s.where("track_id % 10 >= 7"), s.where("track_id % 10 < 7"))
 
 
