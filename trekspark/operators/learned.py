@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
@@ -9,6 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trekspark.graph import stored
 from trekspark.operators.expressions import HOPS_SQL, STEPS_SQL, hop_metres, steps
 from trekspark.operators.forecast import most_frequent
 from trekspark.operators.spatial import BALLS_SQL, ball_stats, planar, planar_sql
@@ -229,30 +232,144 @@ def _(t):
     return out.groupBy("scene").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("dur_s"))), 2).alias("mae"))
 
 
+CELLS = 4096  # that rows are split into, at most; larger tables have larger cells, whose rows are dealt to several groups
+CELL_SAMPLE = 16  # sampled rows a cell, from which the cells' cuts are taken
+
+
+def _cell_tree(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts of a k-d tree as a heap (dimension, -1 at leaves, and value): each node is cut at the median of its widest dimension."""
+    depth = max(0, cells - 1).bit_length()
+    dim, cut = np.full(1 << (depth + 1), -1), np.zeros(1 << (depth + 1))
+    todo = [(1, sample)] if depth and len(sample) else []
+    while todo:
+        node, x = todo.pop()
+        wide = np.ptp(x, axis=0)
+        d = int(wide.argmax())
+        if not wide[d] > 0:
+            continue
+        v = np.sort(x[:, d])
+        dim[node], cut[node] = d, min(v[(len(v) - 1) // 2], v[v < v[-1]][-1])
+        if 2 * node < 1 << depth:
+            beyond = x[:, d] > cut[node]
+            todo += [(2 * node, x[~beyond]), (2 * node + 1, x[beyond])]
+    return dim, cut
+
+
+def _cell_of(x: np.ndarray, dim: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    node, at = np.ones(len(x), np.int64), np.arange(len(x))
+    for _ in range(len(dim).bit_length() - 2):
+        d = dim[node]
+        node = np.where(d >= 0, 2 * node + (x[at, d] > cut[node]), node)
+    return node
+
+
+def _nearest_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray, bounds: np.ndarray, k: int) -> list[tuple]:
+    """(query, row, distance) of the ``k`` nearest of rows ``x`` to each of ``q``, up to its bound. Distances by a matrix product tell which rows may be among
+    them, with room for what it rounds; theirs are then worked out one by one."""
+    centre, out = x.mean(axis=0), []
+    near, far = x - centre, q - centre
+    square = (near * near).sum(axis=1)
+    step = max(1, (1 << 22) // len(x))
+    for a in range(0, len(q), step):
+        y = far[a : a + step]
+        own = (y * y).sum(axis=1)
+        d2 = square - 2 * (y @ near.T) + own[:, None]
+        limit = bounds[a : a + step] ** 2
+        if len(x) > k + 1:  # one more, as a query's own row does not count
+            unknown = ~np.isfinite(limit)
+            limit[unknown] = np.partition(d2[unknown], k, axis=1)[:, k]
+        limit = np.maximum(limit, 0)
+        limit = limit + 4e-9 * np.sqrt(limit) + 1e-11 * (square.max() + own) + 1e-17
+        for i in range(len(y)):
+            at = np.flatnonzero(~(d2[i] > limit[i]))
+            d = np.round(np.sqrt(((x[at] - q[a + i]) ** 2).sum(axis=1)), 9)
+            d[ids[at] == names[a + i]] = np.inf
+            out += [(names[a + i], ids[at[j]], d[j]) for j in np.lexsort((ids[at], d))[:k] if np.isfinite(d[j])]
+    return out
+
+
 def knn_topk(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int = 2_000, row_block: int = 20_000) -> DataFrame:
     """(q, rank, id, dist): the ``k`` nearest rows (id, v array<double>) of each query (q, v) by Euclidean distance to 9 decimals, ties to the
-    smaller id, a row of the query's own id left out. Blocks of about ``query_block`` queries meet blocks of about ``row_block`` rows,
-    whatever the tables' size; each pair gives k of each query. Queries and rows with a null vector take no part."""
-    queries, rows = queries.where("v IS NOT NULL"), rows.where("v IS NOT NULL")
-    many, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (rows, row_block)))
-    q = queries.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(many))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = rows.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
-
-    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "id": [], "dist": []})
-        x, ids = np.stack(right.v), right.id.to_numpy()
-        out = []
-        for name, v in zip(left.q, left.v):
-            d = np.round(np.sqrt(((x - v) ** 2).sum(axis=1)), 9)
-            d[ids == name] = np.inf
-            best = np.lexsort((ids, d))[:k]
-            out += [(name, ids[j], d[j]) for j in best if np.isfinite(d[j])]
-        return pd.DataFrame(out, columns=["q", "id", "dist"])
-
-    found = q.groupBy("_b", "_c").cogroup(r.groupBy("_b", "_c")).applyInPandas(near, "q long, id long, dist double")
-    by = Window.partitionBy("q").orderBy("dist", "id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    smaller id, a row of the query's own id left out. Queries and rows with a null vector, or with a component that is null or not finite, take no part.
+
+    Rows lie in cells of about ``row_block``, cut by a k-d tree over a sample (which shapes the cells, not the result). A query looks into its own
+    cell first; the k-th distance there bounds which other cells can hold a nearer row or a tie, and only these are looked into. Large cells are
+    dealt to groups of about ``row_block`` rows, their queries to groups of about ``query_block``, whatever the tables' size.
+    """
+    whole = lambda df: df.where(F.col("v").isNotNull()).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    spark = rows.sparkSession
+    rows, queries = stored(whole(rows).select(F.col("id").cast("long").alias("id"), "v")), stored(whole(queries).select(F.col("q").cast("long").alias("q"), "v"))
+    n = rows.count()
+    cells = min(CELLS, -(-n // row_block))
+    share = CELL_SAMPLE * cells / max(1, n)
+    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_003)) < share * 1_000_003).select("v").limit(2 * CELL_SAMPLE * cells).toArrow() if cells > 1 else None
+    dim, cut = _cell_tree(np.stack(sample.column("v").to_numpy()) if sample is not None and sample.num_rows else np.zeros((0, 1)), cells)
+
+    def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(cell=_cell_of(np.stack(batch.v), dim, cut))
+
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high, many = {}, {}, {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, cell = np.stack(batch.v), batch.cell.to_numpy()
+            for c in np.unique(cell):
+                own = x[cell == c]
+                low[c] = np.minimum(low.get(c, np.inf), own.min(axis=0))
+                high[c] = np.maximum(high.get(c, -np.inf), own.max(axis=0))
+                many[c] = many.get(c, 0) + len(own)
+        for c in low:
+            yield pd.DataFrame({"cell": c, "at": np.arange(len(low[c])), "low": low[c], "high": high[c], "n": many[c]})
+
+    held = rows.mapInPandas(celled, "id long, v array<double>, cell long") if cells > 1 else rows.withColumn("cell", F.lit(1).cast("long"))
+    held = stored(held) if cells > 1 else held
+    box = held.mapInPandas(boxes, "cell long, at int, low double, high double, n long").groupBy("cell", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).orderBy("cell", "at").toPandas()  # two numbers a cell and dimension
+    of_cell = box[box["at"] == 0].set_index("cell").n
+    names = of_cell.index.to_numpy()
+    low, high = (box[c].to_numpy().reshape(len(names), -1 if len(names) else 0) for c in ("low", "high"))
+
+    def look(probes: DataFrame) -> DataFrame:
+        """The best of each cell that ``probes`` (q, v, cell, bound) name."""
+        asked = dict(probes.groupBy("cell").count().toPandas().itertuples(index=False))  # a row a cell
+        parts = [(int(c), -(-int(of_cell[c]) // row_block), -(-int(m) // query_block)) for c, m in asked.items() if c in of_cell.index]
+        dealt = F.broadcast(spark.createDataFrame(parts, "cell long, _parts int, _blocks int"))
+        span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = probes.join(dealt, "cell").withColumn("_b", F.pmod(F.xxhash64("q"), "_blocks").cast("int")).withColumn("_c", span("_parts")).select("cell", "_c", "_b", "q", "v", "bound")
+        right = held.join(dealt, "cell").withColumn("_c", F.pmod(F.xxhash64("id"), "_parts").cast("int")).withColumn("_b", span("_blocks")).select("cell", "_c", "_b", "id", "v")
+
+        def near(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+            found = _nearest_of(np.stack(other.v), other.id.to_numpy(), np.stack(one.v), one.q.to_numpy(), one.bound.to_numpy(np.float64), k) if len(one) and len(other) else []
+            return pd.DataFrame(found, columns=["q", "id", "dist"])
+
+        by = ("cell", "_c", "_b")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, "q long, id long, dist double")
+
+    best = Window.partitionBy("q").orderBy("dist", "id")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    at_home = queries.mapInPandas(celled, "q long, v array<double>, cell long") if cells > 1 else queries.withColumn("cell", F.lit(1).cast("long"))
+    home = ranked(look(at_home.withColumn("bound", F.lit(float("inf")))))
+    if len(names) < 2:
+        return home
+    home = stored(home)
+
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                some = batch.iloc[a : a + 256]
+                x, gap = np.stack(some.v), np.zeros((len(some), len(names)))
+                for d in range(x.shape[1]):
+                    gap += np.maximum(0, np.maximum(low[:, d] - x[:, d, None], x[:, d, None] - high[:, d])) ** 2
+                bound = some.bound.to_numpy()
+                i, j = np.nonzero((np.sqrt(gap) <= (bound * (1 + 1e-9) + 1e-8)[:, None]) & (names != some.cell.to_numpy()[:, None]))
+                yield pd.DataFrame({"q": some.q.to_numpy()[i], "v": some.v.to_numpy()[i], "cell": names[j], "bound": bound[i]})
+
+    reach = home.where(F.col("rank") == k).select("q", F.col("dist").alias("bound"))
+    open_ = at_home.join(reach, "q", "left").select("q", "v", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    probes = stored(open_.mapInPandas(further, "q long, v array<double>, cell long, bound double"))
+    return ranked(home.select("q", "id", "dist").unionByName(look(probes)))
 
 
 KNN_SQL = "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), kd AS (SELECT q.vec_id AS q, r.vec_id AS id, sqrt(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - r.v[i]) * (q.v[i] - r.v[i])))) AS dist FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0), kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dist, 9), id) AS rank FROM kd) WHERE rank <= 5)"
