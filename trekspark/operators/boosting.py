@@ -458,7 +458,7 @@ def _(t):
     """Labels of held out vectors (one in ten) from how common a label is, and a memory of all other vectors."""
     raw = t.embeddings.select(F.col("vec_id").cast("long").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = raw.withColumn("v", F.transform("v", lambda x: x / norm))
+    unit = raw.withColumn("v", F.transform(F.array(norm), lambda n: F.transform("v", lambda x: x / n))[0])  # the norm once a row, not once a component
     held, train = unit.where("id % 10 = 0"), unit.where("id % 10 != 0")
     near = knn_topk(held.select(F.col("id").alias("q"), "v"), train.select("id", "v"), 50)
     near = near.join(train.select("id", "label"), "id").select("q", (1 - F.col("dist") * F.col("dist") / 2).alias("sim"), "label")

@@ -334,7 +334,9 @@ def knn_topk(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int =
     def look(probes: DataFrame) -> DataFrame:
         """The best of each cell that ``probes`` (q, v, cell, bound) name."""
         asked = dict(probes.groupBy("cell").count().toPandas().itertuples(index=False))  # a row a cell
-        parts = [(int(c), -(-int(of_cell[c]) // row_block), -(-int(m) // query_block)) for c, m in asked.items() if c in of_cell.index]
+        asked = {int(c): int(m) for c, m in asked.items() if c in of_cell.index}
+        spread = -(-16 // max(1, len(asked)))  # where there are few cells, so that more than one task works
+        parts = [(c, -(-int(of_cell[c]) // row_block), max(-(-m // query_block), min(spread, -(-m // 250)))) for c, m in asked.items()]
         dealt = F.broadcast(spark.createDataFrame(parts, "cell long, _parts int, _blocks int"))
         span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         left = probes.join(dealt, "cell").withColumn("_b", F.pmod(F.xxhash64("q"), "_blocks").cast("int")).withColumn("_c", span("_parts")).select("cell", "_c", "_b", "q", "v", "bound")
