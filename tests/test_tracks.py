@@ -101,3 +101,12 @@ def test_edges_match_a_plain_search(spark):
                     sims.append((-round(float(np.dot(a[4], b[4]) / size) if size else 0.0, 9), a[1]))
             want |= {(track, "poi", j, b[1]) for _, j in sorted(sims)[:2]}
     assert got == want
+
+
+def test_steps_are_sorted_once_and_not_joined_with_each_other(spark):
+    rows = spark.createDataFrame([(1, p, p % 2, 0, [1.0, float(p)]) for p in range(1, 30)], "track_id long, pos int, role int, bin int, v array<double>")
+    for causal in (True, False):
+        edges = relation_edges(rows, causal=causal)
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") == 1
+        assert edges.where("kind = 'poi'").groupBy("k").count().where("count > 2").count() == 0
