@@ -395,7 +395,7 @@ def fit_regions(points: DataFrame, sample: int = SAMPLE, deltas: tuple = DELTAS,
     best = stored(grid_search_delta(scores, ["scene"], "silhouette"))
     chosen = labels.join(best.select("scene", "delta"), ["scene", "delta"])
     named = containing_ball(scaled, balls, features, ["scene"]).join(chosen, ["scene", "ball"])
-    centre = named.groupBy("scene", "cluster").agg(*(F.avg(f).alias(f) for f in features), F.count("*").alias("stays"))
+    centre = named.groupBy("scene", "cluster").agg(*((F.sum(F.col(f).cast("decimal(28,18)")).cast("double") / F.count("*")).alias(f) for f in features), F.count("*").alias("stays"))  # sums of decimals do not hang on the order of rows
     centroids = centre.withColumn("region_id", F.row_number().over(Window.partitionBy("scene").orderBy("cluster")) - 1).drop("cluster")
     count = balls.groupBy("scene").agg(F.count("*").alias("balls"))
     return stored(fit.join(best, "scene").join(count, "scene")), stored(centroids.select("scene", "region_id", *features, "stays"))
