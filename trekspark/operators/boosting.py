@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -13,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekspark.graph import stored
+from trekspark.graph import dealt, stored
 from trekspark.operators.expressions import FEATURE_GROUPS, FEATURES, STEPS_SQL, exact_quantiles, steps
 from trekspark.operators.forecast import MARKOV_SQL, most_frequent, markov_next, pair_prior
 from trekspark.operators.learned import knn_topk
@@ -62,9 +63,12 @@ def fit_boosted(train: DataFrame, features: list[str], label: str = "dur_s", tra
     marked = rows.withColumn("_held", held)
     if marked.where("_held").isEmpty() or marked.where("NOT _held").isEmpty():  # too few tracks to hold any out
         marked = rows.withColumn("_held", F.lit(False)).unionByName(rows.withColumn("_held", F.lit(True)))
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(marked.withColumn("_z", (F.col("_y") - centre) / scale))
+    whole = dealt(marked.select(*features, "_held", ((F.col("_y") - centre) / scale).alias("_z")))
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(whole).persist(StorageLevel.MEMORY_AND_DISK)  # the fit reads it several times
     trees_of = GBTRegressor(featuresCol="_x", labelCol="_z", predictionCol="_p", lossType="absolute", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", validationIndicatorCol="_held", validationTol=0.0, seed=seed)
-    return Boosted(trees_of.fit(data), features, centre, scale)
+    model = trees_of.fit(data)
+    data.unpersist()
+    return Boosted(model, features, centre, scale)
 
 
 def boosted_duration(train: DataFrame, test: DataFrame, features: list[str], **options) -> DataFrame:
