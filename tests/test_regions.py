@@ -99,6 +99,24 @@ def test_recursive_clusters_match_a_plain_tree(spark):
     assert got[1, 0] == {5} and len(want) == 6
 
 
+def test_graphs_of_balls_need_no_table_of_pairs(spark):
+    r = random.Random(9)
+    rows = [(s, k, [r.random() * 4, r.random() * 4], r.choice([0.0, 0.1, 0.5, 1.0])) for s in (0, 1) for k in range(25)] + [(2, 7, [0.0, 0.0], 0.0)]
+    balls = spark.createDataFrame(rows, "scene int, ball long, centre array<double>, radius double")
+    keys = ["scene", "delta"]
+    edges = regions.with_loops(regions.affinity_edges(balls, ["scene"], (0.2, 0.9)), balls, keys).where("scene < 2")
+    want = {(x.scene, x.delta, x.i): x.value for x in regions.graph_eigenvalues(edges, keys).collect()}
+    got = {(x.scene, x.delta, x.i): x.value for x in regions.ball_eigenvalues(balls, ["scene"], (0.2, 0.9)).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 2} == pytest.approx(want, abs=1e-12) and len(got) == len(want) + 2
+    rows = np.random.default_rng(2).normal(size=(50, 4))
+    whole = regions.nearest_groups(rows, 6)
+    held, regions.NUMBERS = regions.NUMBERS, 100
+    try:
+        assert (regions.nearest_groups(rows, 6) == whole).all()
+    finally:
+        regions.NUMBERS = held
+
+
 def plain_composite(rows):
     labels = sorted({r[1] for r in rows})
     if len(labels) < 2:

@@ -19,6 +19,7 @@ from trekspark.operators.trajectory import NEAREST_SQL, nearest_centroid
 from trekspark.plans.registry import query
 
 DELTAS = tuple(round(0.1 * k, 1) for k in range(1, 11))
+NUMBERS = 4_000_000  # that k-means in a task holds at once
 SAMPLE = 5_000  # stays of a scene that regions are fitted on; a graph has at most a tenth as many balls
 
 
@@ -108,7 +109,11 @@ def _(t):
 
 def laplacian(w: np.ndarray) -> np.ndarray:
     scale = 1 / np.sqrt(np.maximum(w.sum(1), 1e-10))
-    return np.eye(len(w)) - w * scale[:, None] * scale[None]
+    out = w * scale[:, None]  # the only other matrix of this size
+    out *= scale[None]
+    np.negative(out, out=out)
+    out[np.diag_indices(len(w))] += 1
+    return out
 
 
 def eigengap_k(values: np.ndarray, k_low: int, k_high: int) -> int:
@@ -130,8 +135,9 @@ def nearest_groups(v: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
         seeds.append(int(gap.argmax()))
         gap = np.minimum(gap, ((v - v[seeds[-1]]) ** 2).sum(1))
     centres, labels = v[seeds], None
+    step = max(1, NUMBERS // (k * v.shape[1]))
     for _ in range(rounds):
-        new = ((v[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.concatenate([((v[a : a + step, None] - centres[None]) ** 2).sum(2).argmin(1) for a in range(0, len(v), step)])
         if labels is not None and (new == labels).all():
             break
         labels = new
@@ -151,7 +157,8 @@ def recursive_labels(w: np.ndarray, k_low: int, k_high: int, least: int, deeper:
     k = eigengap_k(values, k_low, k_high)
     if k <= 1:
         return np.zeros(n, int)
-    rows = vectors[:, :k]
+    rows = vectors[:, :k].copy(order="K")
+    del vectors
     groups = nearest_groups(rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300), k)
     labels, next_ = np.zeros(n, int), 0
     for c in range(groups.max() + 1):
@@ -172,6 +179,47 @@ def _matrix(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return nodes, w
 
 
+def ball_matrix(centres: np.ndarray, radii: np.ndarray, delta: float) -> np.ndarray:
+    """The affinity of all pairs of balls, as ``affinity_edges`` gives it for balls in this order, in blocks of rows; 1 on the diagonal."""
+    n = len(radii)
+    w, at = np.empty((n, n)), np.arange(n)
+    step = max(1, NUMBERS // (8 * max(1, n)))
+    with np.errstate(all="ignore"):
+        for a in range(0, n, step):
+            own = at[a : a + step, None]
+            r1, r2 = radii[np.minimum(own, at)], radii[np.maximum(own, at)]
+            d = np.sqrt(sum((c[own] - c[at]) ** 2 for c in centres.T))
+            small, large = np.minimum(r1, r2), np.maximum(r1, r2)
+            even = 1 - np.abs(r1 - r2) / large
+            near = np.minimum(0.7 + 0.3 * np.minimum((r1 + r2 - d) / (2 * small), 1.0) + 0.1 * (d + small <= large) + 0.05 * even, 1.0)
+            apart = np.exp(-((d - r1 - r2) / (r1 + r2)) / (delta * (0.5 + 0.5 * even))) * (0.7 + 0.3 * even)
+            w[a : a + step] = np.nan_to_num(np.maximum(np.where(small <= 0, np.exp(-10 * d), np.where(d <= r1 + r2, near, apart)), 0))
+    w[at, at] = 1.0
+    return w
+
+
+def _graphs(balls: DataFrame, deltas: tuple) -> DataFrame:
+    """Balls once for each delta: a graph's task gets a row a ball and works out the pairs itself, no table of pairs is shuffled."""
+    return balls.withColumn("delta", F.explode(F.array(*(F.lit(float(d)) for d in deltas))))
+
+
+def _ball_graph(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    group = group.sort_values("ball")
+    return group["ball"].to_numpy(), ball_matrix(np.stack(group["centre"]).astype(float), group["radius"].to_numpy(float), float(group["delta"].iloc[0]))
+
+
+def ball_eigenvalues(balls: DataFrame, keys: list[str], deltas: tuple) -> DataFrame:
+    """``graph_eigenvalues`` of the graphs of all balls of a key (keys, ball, centre, radius), for each delta."""
+    by = [*keys, "delta"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        values = np.linalg.eigvalsh(laplacian(_ball_graph(group)[1]))
+        return pd.DataFrame({**{k: group[k].iloc[0] for k in by}, "i": np.arange(len(values)), "value": values})
+
+    graphs = _graphs(balls, deltas)
+    return graphs.groupBy(*by).applyInPandas(run, _schema(graphs, by, "i int, value double"))
+
+
 def with_loops(edges: DataFrame, balls: DataFrame, keys: list[str]) -> DataFrame:
     """Edges with a loop for each ball and each value of the last key, so that a lone ball is a graph too."""
     values = edges.select(*keys).distinct()
@@ -267,7 +315,7 @@ def graph_bounds(balls: DataFrame, keys: list[str], regions: DataFrame | None =
 def _(t):
     points, features = scene_balls(t, ["scene"])
     balls = stored(ball_table(points, features, ["scene"]))
-    values = graph_eigenvalues(with_loops(affinity_edges(balls, ["scene"], (0.5,)), balls, ["scene", "delta"]), ["scene", "delta"])
+    values = ball_eigenvalues(balls, ["scene"], (0.5,))
     return choose_k_eigengap(values, ["scene", "delta"], 3, 40)
 
 
