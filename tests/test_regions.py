@@ -212,3 +212,30 @@ def _tables(spark):
     from trekspark.plans.registry import Tables
 
     return Tables(spark, SF)
+
+
+def test_graphs_of_balls_are_spread_and_labelled_like_their_edges(spark):
+    r = np.random.default_rng(4)
+    rows = [(s, k, [float(x) for x in r.normal(size=2) * 0.05 + 3 * np.array([k % 3, k % 2])], 0.05 + k / 1000) for s in range(2) for k in range(30)]
+    balls = regions.stored(spark.createDataFrame(rows, "scene int, ball long, centre array<double>, radius double"))
+    assert regions._graphs(balls, ["scene"], (0.3, 0.8)).rdd.getNumPartitions() >= 4  # few bytes, but no task gets all graphs
+    bounds = spark.createDataFrame([(0, 2, 8, 6), (1, 2, 8, 6)], "scene int, k_low int, k_high int, least int")
+    keys = ["scene", "delta"]
+    edges = regions.with_loops(regions.affinity_edges(balls, ["scene"], (0.3, 0.8)), balls, keys)
+    groups = lambda df: {frozenset(x.m) for x in df.groupBy(*keys, "cluster").agg(F.collect_set(F.struct("scene", "delta", "ball")).alias("m")).collect()}
+    assert groups(regions.ball_clusters(balls, ["scene"], (0.3, 0.8), bounds)) == groups(regions.recursive_spectral(edges, keys, bounds))
+
+
+def test_nearest_centres_by_product_are_those_by_differences():
+    r = np.random.default_rng(1)
+    v = r.normal(size=(300, 7))
+    c = np.concatenate([v[:5], v[:5], v[5:9] + 1e-9, r.normal(size=(9, 7))])  # equal centres: the first
+    assert (regions.nearest_centres(v, c) == ((v[:, None] - c) ** 2).sum(2).argmin(1)).all()
+
+
+def test_weights_count_as_copies(spark):
+    rows = [(0, k % 3, float(k % 3 * 5 + k % 2), float(k % 5), 1 + k % 4) for k in range(24)]
+    few = spark.createDataFrame(rows, "scene int, cluster int, x double, y double, n int")
+    many = few.withColumn("_i", F.explode(F.sequence(F.lit(1), "n"))).drop("_i")
+    one, two = (x.first() for x in (regions.composite_score(few, ["x", "y"], ["scene"], "cluster", "n"), regions.composite_score(many, ["x", "y"], ["scene"], "cluster")))
+    assert [*one] == pytest.approx([*two])
