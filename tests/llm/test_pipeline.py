@@ -104,3 +104,21 @@ def test_each_stage_against_its_reference(spark, tmp_path):
             assert r.offset == at
             at += r.length
         assert at <= 2048
+
+
+def test_near_dedup_links_by_fingerprints_and_by_shingles(spark):
+    from trekspark.llm import simhash_dedup
+
+    phrase = "one phrase that stands here very often "
+    first, second = (phrase * 200 + words(k, 12) for k in (1, 2))  # near by fingerprints, that count repeats, far by sets of shingles
+    third = second.replace(second.split()[-1], "other")  # one shingle of second's is another
+    fourth = words(3, 300)
+    changed = fourth.split()
+    changed[100] = changed[200] = "changed"  # near by shingles, not by fingerprints
+    alone = words(4, 300)
+    texts = [first, second, third, fourth, " ".join(changed), alone, "", None]
+    a, b = (simhash_dedup.fingerprint(t, 5) for t in texts[3:5])
+    assert (a ^ b).bit_count() > 2 and (simhash_dedup.fingerprint(first, 5) ^ simhash_dedup.fingerprint(second, 5)).bit_count() <= 2
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t or "")) for k, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one_similar(docs).collect()) == [0, 3, 5, 6]
+    assert simhash_dedup.keep_one_similar(docs.limit(0)).count() == 0

@@ -248,12 +248,13 @@ def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
     return np.unique(joined ^ (joined >> np.uint64(31)))
 
 
-def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
-    """Rows of ``docs``, one of each group of documents that are linked by a Jaccard similarity of shingles of
-    ``least`` or more (the smallest doc_id; of repeated rows of that id, one). Rows without an id stay.
+def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int = 5, radius: int = 2, parts: int = 3) -> DataFrame:
+    """Rows of ``docs``, one of each group of documents that are linked by SimHashes that differ in at most ``radius`` bits or by
+    a Jaccard similarity of shingles of ``least`` or more (the smallest doc_id; of repeated rows of that id, one). Rows without an id stay.
 
-    Every such pair is found: of n shingles in one global order, the first n - least n + 1 hold one that
-    both documents have among theirs. Candidates are compared exactly. Null and empty texts are copies of each other.
+    Fingerprints meet as in ``links``, and all that are near are linked. Documents similar by ``least`` may differ in far more
+    bits, so they meet by shingles too, and none is missed: of n shingles in one global order, the first n - least n + 1 hold one that
+    both documents have among theirs. These candidates are compared exactly. Null and empty texts are copies of each other.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -315,9 +316,16 @@ def keep_one_similar(docs: DataFrame, least: float = 0.8, words_per_shingle: int
         return F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * least - 1e-9
 
     sigs = stored(texts.mapInArrow(sign, "gram long, hot boolean, key long, size int"))  # read three times
-    joined = components(linked(sigs, may, lambda keys: texts.join(keys, "key", "left_semi"), verified))
+    exact = linked(sigs, may, lambda keys: texts.join(keys, "key", "left_semi"), verified)
     discard(sigs)
-    discard(texts)
+    prints = stored(fingerprints(texts, words_per_shingle, "key"))
+    heads = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("head")))  # doc_id is the text's key
+    same = prints.join(heads, "fp").where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    near = links(heads.select("fp"), radius, parts).join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    joined = components(exact.select("a", "b").unionByName(same).unionByName(near))
+    for table in (exact, prints, heads, texts):
+        discard(table)
     rooted = classes.join(joined, classes.key == joined.node, "left").select("first_id", F.coalesce("component", "key").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first_id").alias("doc_id")).select("doc_id")
     chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
