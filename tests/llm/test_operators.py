@@ -422,3 +422,24 @@ def test_no_link_of_long_lines_is_lost(spark):
             texts += [" ".join(line), " ".join(near)]
     got = {x.doc_id: x.group_doc_id for x in line_dedup.line_groups(docs_of(spark, texts)).collect()}
     assert [k for k in range(0, len(texts), 2) if got[k] != got[k + 1]] == []
+
+
+def test_chunk_encoder_batches_words_of_any_letters_and_punctuation_like_whole_texts():
+    enc = packing.ChunkEncoder()
+    r = random.Random(2)
+    pool = "aBZÉéßİıΣςǅŉẞ一あ́²कक़ÅﬁА.,'!#*_-<|>3…"
+    texts = [" ".join("".join(r.choices(pool, k=r.randint(1, 7))) for _ in range(40)) for _ in range(300)]
+    texts += ["<|endoftext|> a<|startoftext|>!! don't IT'S ab's. x'", "WORD! Word!! Été*** été straße##"]
+    alone = []
+
+    class Counted:
+        def encode_batch_fast(self, some, **more):
+            alone.extend(some if " " not in some[0] else [])
+            return enc_tokenizer.encode_batch_fast(some, **more)
+
+    enc_tokenizer, enc.tokenizer = enc.tokenizer, Counted()
+    for text in texts * 2:
+        assert enc.encode([text])[0].tolist() == enc_tokenizer.encode(text, add_special_tokens=False).ids
+    alone.clear()
+    enc.encode(["Grünes### GRÜNES!! haus--- weg ästlich queoè"])
+    assert set(alone) <= {"###", "!!", "---"}  # words are encoded together, not one by one

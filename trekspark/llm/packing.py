@@ -22,7 +22,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
-_STEM = re.compile(r"([a-zA-Z]+)([.,]*)")
+_STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")  # a word and punctuation without apostrophes
 
 
 class ChunkEncoder:
@@ -46,6 +46,7 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.any_end = sum(len(t) == 5 and t.endswith("</w>") for t in vocab) >= 256  # a word may end with any byte
         self.by_chunk = self._stands_alone()
 
     def _stands_alone(self) -> bool:
@@ -54,27 +55,34 @@ class ChunkEncoder:
         probes = ["Ab", "word", "don't", "x.", "\u00c9t\u00e9", "3.5", "...", "naming"]
         joined = [encode(gap.join(probes)) for gap in (" ", "  ", "\n", "\t ", "\r\n", " \n\n")]
         alone = [x for p in probes for x in encode(p)]
-        return self.ends.any() and all(x == alone for x in joined) and encode("WORD") == encode("word") and encode(" a ") == encode("a") and encode("ab.,") == encode("ab") + encode(".,")
+        return self.ends.any() and all(x == alone for x in joined) and encode("WORD") == encode("word") and encode(" a ") == encode("a") and encode("ab.,") == encode("ab") + encode(".,") and encode("\u00c9b!#*") == encode("\u00e9b") + encode("!#*")
 
     def learn(self, chunks: list[str]) -> None:
-        """Remember the ids of new chunks. Those of ASCII letters, but for full stops and commas at their end, go
+        """Remember the ids of new chunks. Words, without the punctuation at their end and in lower case, go
         through the encoder as one text, cut where a word ends; the rest one by one."""
         found = self.memo
-        words, lone = [], []
+        plain, other, lone, parts = set(), set(), [], []
         for c in chunks:
-            (words if c.isascii() and c.isalpha() else lone).append(c)
-        stems = []
-        for c in lone:
             m = _STEM.fullmatch(c)
-            if m and m[2]:
-                stems.append((c, m[1], m[2]))
-        if stems:
-            cut = {c for c, _, _ in stems}
-            lone = [c for c in lone if c not in cut]
-            lone += [x for x in {m for *_, m in stems} if x not in found]
-            words += [x for x in {m for _, m, _ in stems}.difference(words) if x not in found]
+            if m is None or not (self.any_end or c.isascii()):
+                lone.append(c)
+                continue
+            word, tail = m.groups()
+            if word.isascii() or word.isalpha() and "\u0130" not in word and max(word) < "\u0250":  # letters that have one small letter, a letter too
+                low = word.lower()
+                (plain if low.isascii() else other).add(low)
+                if low != c:
+                    parts.append((c, low, tail))
+            elif word == c and c.isalpha():
+                other.add(c)
+            else:
+                lone.append(c)
+        lone += {tail for *_, tail in parts}.difference(found)
+        words = [*plain.difference(found)]
+        words += [""] * (-len(words) % 1000)  # so that the others have texts of their own
+        words += other.difference(found)
         for first in range(0, len(words), 1000):
-            some = words[first : first + 1000]
+            some = [w for w in words[first : first + 1000] if w]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
@@ -87,8 +95,8 @@ class ChunkEncoder:
         if lone:
             for c, e in zip(lone, self.tokenizer.encode_batch_fast(lone, add_special_tokens=False)):
                 found[c] = np.array(e.ids, "<u4").tobytes()
-        for c, a, b in stems:
-            found[c] = found[a] + found[b]
+        for c, word, tail in parts:
+            found[c] = found[word] + found[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
@@ -97,14 +105,19 @@ class ChunkEncoder:
         if len(self.memo) > MEMO_CHUNKS // 2:
             self.memo, self.older = {"": b""}, self.memo
         known, older = self.memo, self.older
-        new = set().union(*chunks).difference(known)
+        found = [list(map(known.get, row)) for row in chunks]
+        gaps = [[k for k, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
+        new = {row[k] for row, at in zip(chunks, gaps) for k in at}
         if older and new:
             again = {c: older[c] for c in new if c in older}
             known.update(again)
             new.difference_update(again)
         if new:
             self.learn(list(new))
-        return [np.frombuffer(b"".join([known[c] for c in row]), "<u4") for row in chunks]
+        for row, ids, at in zip(chunks, found, gaps):
+            for k in at:
+                ids[k] = known[row[k]]
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
 
 _encoders: dict[str | None, ChunkEncoder] = {}
