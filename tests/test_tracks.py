@@ -110,3 +110,25 @@ def test_steps_are_sorted_once_and_not_joined_with_each_other(spark):
         plan = edges._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Exchange") == 1
         assert edges.where("kind = 'poi'").groupBy("k").count().where("count > 2").count() == 0
+
+
+def test_edges_reach_all_of_a_track(spark):
+    """Steps far apart meet too: every pair of one role, and the most similar of all steps before."""
+    n = 300
+    rows = [(1, p, p % 7, None, [1.0, float(p % 50)] if p % 3 else None) for p in range(1, n + 1)] + [(None, 1, 0, 0, [1.0, 1.0]), (None, 2, 0, 0, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "track_id long, pos int, role int, bin int, v array<double>")
+    for causal in (True, False):
+        got = [tuple(x) for x in relation_edges(df, causal=causal).collect()]
+        want = {(1, "next", p, p + 1) for p in range(1, n)} | {(1, "role", a, b) for a in range(1, n + 1) for b in range(a + 7, n + 1, 7)}
+        want |= set() if causal else {(t, kind, b, a) for t, kind, a, b in want}
+        for b in range(1, n + 1):
+            near = sorted((-round((1 + (a % 50) * (b % 50)) / np.hypot(1, a % 50) / np.hypot(1, b % 50), 9), a) for a in range(1, n + 1) if a != b and a % 3 and b % 3 and (a < b or not causal))
+            want |= {(1, "poi", a, b) for _, a in near[:2]}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_odd_vectors_have_defined_edges(spark):
+    v = [[1.0, 0.0], [1.0], [1.0, None], [float("nan"), 1.0], [0.0, 0.0], [2.0, 0.0]]
+    df = spark.createDataFrame([("a", p, None, None, x) for p, x in enumerate(v)], "track_id string, pos long, role string, bin double, v array<double>")
+    got = {(x.j, x.k) for x in relation_edges(df, k=1).collect() if x.kind == "poi"}
+    assert got == {(0, 1), (0, 2), (0, 3), (0, 4), (0, 5)} and relation_edges(df.limit(0)).collect() == []
