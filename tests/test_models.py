@@ -33,3 +33,12 @@ def test_queries_give_rows_for_all(spark):
     assert len({(x.scene, x.region_id) for x in roles}) == len(roles) > 0 and {x.cluster for x in roles} == {0, 1, 2}
     scores = QUERIES["forest_duration"](spark, sf)
     assert scores.agg(F.min("mae") > 0).first()[0]
+
+
+def test_forest_query_grows_all_trees(spark, monkeypatch):
+    from trekspark.operators import models
+
+    made, forest = [], models.RandomForestRegressor
+    monkeypatch.setattr(models, "RandomForestRegressor", lambda **args: made.append(args) or forest(**{**args, "numTrees": 2}))
+    QUERIES["forest_duration"](spark, "/root/testdata/sf0.001")
+    assert [(x["numTrees"], x["maxDepth"]) for x in made] == [(200, 6)]
