@@ -45,3 +45,33 @@ def test_a_block_compares_few_rows_one_by_one(monkeypatch):
     monkeypatch.setattr(np, "lexsort", lambda keys: seen.append(len(keys[0])) or sort(keys))
     _nearest_of(x, np.arange(4_000), x[:50], np.arange(50), np.full(50, np.inf), 5)
     assert len(seen) == 50 and max(seen) < 20
+
+
+def test_leaves_find_what_the_product_finds(monkeypatch):
+    """Few dimensions: only rows of the leaves in reach are compared; copies, own rows, bounds, few places."""
+    from trekspark.operators import learned
+
+    r, seen = np.random.default_rng(7), []
+    for dims, n, k in ((1, 300, 3), (2, 900, 12), (5, 4_000, 5), (3, 3, 5)):
+        x = np.concatenate([r.normal(0, 1, (n, dims)), np.round(r.normal(0, 1, (n, dims))), np.repeat(r.normal(0, 1, (1, dims)), 200, 0)])
+        ids = r.permutation(len(x))
+        at = r.choice(len(x), min(len(x), 150), replace=False)
+        q, names = np.concatenate([x[at], r.normal(0, 2, (50, dims))]), np.concatenate([ids[at], np.arange(50) + 10**6])
+        for bounds in (np.full(len(q), np.inf), np.where(r.random(len(q)) < 0.5, r.random(len(q)), np.inf)):
+            want = sorted((int(a), int(b)) for a, b, _ in _nearest_of(x, ids, q, names, bounds, k))
+            found = learned._nearest_by_leaves(x, ids, q, names, bounds, k)
+            assert sorted(zip(found[0].tolist(), found[1].tolist(), strict=True)) == want
+    sort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: seen.append(len(keys[0])) or sort(keys))
+    x = r.normal(0, 1, (20_000, 5))
+    learned._nearest_by_leaves(x, np.arange(20_000), x[:100], np.arange(100), np.full(100, np.inf), 5)
+    assert len(seen) == 2 and seen[1] < 20_000  # of two million pairs
+
+
+def test_durations_are_predicted_for_all_test_rows(spark):
+    from trekspark.fixtures import view
+    from trekspark.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    held = view(spark, sf, "fx_s").where("track % 10 >= 7").count()
+    assert QUERIES["knn_duration"](spark, sf).count() == held > 1_000

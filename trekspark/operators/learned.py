@@ -288,6 +288,87 @@ def _nearest_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray
     return out
 
 
+LEAF, LOW = 64, 8  # rows of a leaf; dimensions up to which leaves tell rows apart better than a matrix product
+
+
+def _leaves(x: np.ndarray) -> list[np.ndarray]:
+    """Rows of ``x`` (no two alike) in leaves of at most LEAF, cut at the median of the widest dimension."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= LEAF:
+            out.append(own)
+            continue
+        half = len(own) // 2
+        own = own[np.argpartition(x[own, np.ptp(x[own], axis=0).argmax()], half)]
+        todo += [own[:half], own[half:]]
+    return out
+
+
+def _nearest_by_leaves(x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_nearest_of`` for few dimensions, as arrays: each query is compared with the rows of the leaves that its bound reaches, the bound being the k-th
+    distance in its nearest leaves. Of rows at one place only the k + 1 smallest ids can count, so no more are kept."""
+    order = np.lexsort((ids, *x.T))
+    x, ids = x[order], ids[order]
+    new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)])
+    many = np.diff(new, append=len(x))
+    places, kept = x[new], np.minimum(many, k + 1)
+    leaves = _leaves(places)
+    low, high = (np.stack([f(places[own], axis=0) for own in leaves]) for f in (np.min, np.max))
+    out = [(np.empty(0, np.int64),) * 2 + (np.empty(0),)]
+
+    def met(some: np.ndarray, at: np.ndarray, limit: np.ndarray | None) -> tuple:
+        """Queries ``some`` with rows of the places ``at`` within ``limit``: (query, row, distance); all of them and no rows without a limit."""
+        d2 = np.zeros((len(some), len(at)))
+        for c in range(x.shape[1]):
+            d2 += (q[some, c, None] - places[at, c]) ** 2
+        if limit is None:
+            return d2
+        i, j = np.nonzero(d2 <= limit[:, None])
+        times = kept[at[j]]
+        i, row = np.repeat(i, times), np.repeat(new[at[j]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return some[i], row
+
+    step = max(1, (1 << 21) // len(leaves))
+    for a in range(0, len(q), step):
+        mine = np.arange(a, min(len(q), a + step))
+        gap = np.zeros((len(mine), len(leaves)))
+        for c in range(x.shape[1]):
+            gap += np.maximum(0, np.maximum(low[:, c] - q[mine, c, None], q[mine, c, None] - high[:, c])) ** 2
+        limit = bounds[mine] ** 2
+        home = gap.argmin(axis=1)
+        for n in np.unique(home[~np.isfinite(limit)]):
+            at = leaves[n]
+            some = np.flatnonzero((home == n) & ~np.isfinite(limit))
+            if len(at) > k + 1:  # places, each with a row: one more, as a query's own row does not count
+                limit[some] = np.partition(met(mine[some], at, None), k, axis=1)[:, k]
+        root = np.sqrt(limit)
+        limit = (root * (1 + 1e-12) + 2e-9) ** 2
+        i, n = np.nonzero(gap <= limit[:, None])
+        by = np.argsort(n, kind="stable")
+        i, n = i[by], n[by]
+        found = []
+        for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(n)) + 1):
+            if len(part):
+                found.append(met(mine[i[part]], leaves[n[part[0]]], limit[i[part]]))
+        if not found:
+            continue
+        who, row = (np.concatenate(c) for c in zip(*found, strict=True))
+        other = ids[row] != names[who]
+        who, row = who[other], row[other]
+        d = np.zeros(len(who))
+        for c in range(x.shape[1]):
+            d += (x[row, c] - q[who, c]) ** 2
+        d = np.round(np.sqrt(d), 9)
+        best = np.lexsort((ids[row], d, who))
+        who, row, d = who[best], row[best], d[best]
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        rank = np.arange(len(who)) - np.repeat(first, np.diff(first, append=len(who)))
+        top = rank < k
+        out.append((names[who[top]], ids[row[top]], d[top]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def knn_topk(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int = 2_000, row_block: int = 20_000) -> DataFrame:
     """(q, rank, id, dist): the ``k`` nearest rows (id, v array<double>) of each query (q, v) by Euclidean distance to 9 decimals, ties to the
     smaller id, a row of the query's own id left out. Queries and rows with a null vector, or with a component that is null or not finite, take no part.
@@ -343,8 +424,13 @@ def knn_topk(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int =
         right = held.join(dealt, "cell").withColumn("_c", F.pmod(F.xxhash64("id"), "_parts").cast("int")).withColumn("_b", span("_blocks")).select("cell", "_c", "_b", "id", "v")
 
         def near(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-            found = _nearest_of(np.stack(other.v), other.id.to_numpy(), np.stack(one.v), one.q.to_numpy(), one.bound.to_numpy(np.float64), k) if len(one) and len(other) else []
-            return pd.DataFrame(found, columns=["q", "id", "dist"])
+            if not len(one) or not len(other):
+                return pd.DataFrame([], columns=["q", "id", "dist"])
+            x, y = np.stack(other.v), np.stack(one.v)
+            own = (x, other.id.to_numpy(), y, one.q.to_numpy(), one.bound.to_numpy(np.float64), k)
+            if x.shape[1] <= LOW:
+                return pd.DataFrame(dict(zip(("q", "id", "dist"), _nearest_by_leaves(*own), strict=True)))
+            return pd.DataFrame(_nearest_of(*own), columns=["q", "id", "dist"])
 
         by = ("cell", "_c", "_b")
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, "q long, id long, dist double")
@@ -398,14 +484,14 @@ def knn_duration(train: DataFrame, test: DataFrame, features: tuple, label: str
     fit = train.agg(*(F.avg(c).alias(f"m_{c}") for c in features), *(F.greatest(F.stddev_pop(c), F.lit(1e-9)).alias(f"s_{c}") for c in features))
     v = F.array(*((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in features))
     scaled = lambda df: df.crossJoin(F.broadcast(fit)).select("id", F.when(~F.exists(v, lambda x: x.isNull()), v).alias("v"))  # noqa: E731  one row
-    near = knn_topk(scaled(test).withColumnRenamed("id", "q"), scaled(train.where(F.col(label).isNotNull())), k)
+    near = knn_topk(scaled(test).withColumnRenamed("id", "q"), scaled(train.where(F.col(label).isNotNull())), k, query_block=10_000)
     return near.join(train.select("id", label), "id").groupBy("q").agg(F.avg(label).alias("pred"))
 
 
-@query("knn_duration", f"WITH s AS (SELECT *, track * 101 + seg_idx AS id FROM fx_s), f AS (SELECT {_SCALED} FROM s WHERE track % 10 < 7), n AS (SELECT q.id AS q, r.id, r.dur_s, row_number() OVER (PARTITION BY q.id ORDER BY round(sqrt({_NEAR}), 9), r.id) AS k FROM s q JOIN s r ON q.track % 10 >= 7 AND q.id % 100 = 0 AND r.track % 10 < 7 CROSS JOIN f) SELECT q, round(avg(dur_s), 4) AS pred FROM n WHERE k <= 5 GROUP BY q")
+@query("knn_duration", f"WITH s AS (SELECT *, track * 101 + seg_idx AS id FROM fx_s), f AS (SELECT {_SCALED} FROM s WHERE track % 10 < 7), n AS (SELECT q.id AS q, r.id, r.dur_s, row_number() OVER (PARTITION BY q.id ORDER BY round(sqrt({_NEAR}), 9), r.id) AS k FROM s q JOIN s r ON q.track % 10 >= 7 AND r.track % 10 < 7 CROSS JOIN f) SELECT q, round(avg(dur_s), 4) AS pred FROM n WHERE k <= 5 GROUP BY q")
 def _(t):
-    s = t.fx_s.withColumn("id", F.col("track") * 101 + F.col("seg_idx"))  # queries: test rows whose id is divisible by 100
-    return knn_duration(s.where("track % 10 < 7"), s.where("track % 10 >= 7 AND id % 100 = 0"), KNN_FEATURES).withColumn("pred", F.round("pred", 4))
+    s = t.fx_s.withColumn("id", F.col("track") * 101 + F.col("seg_idx"))
+    return knn_duration(s.where("track % 10 < 7"), s.where("track % 10 >= 7"), KNN_FEATURES).withColumn("pred", F.round("pred", 4))
 
 
 # Scores
