@@ -239,3 +239,8 @@ def test_weights_count_as_copies(spark):
     many = few.withColumn("_i", F.explode(F.sequence(F.lit(1), "n"))).drop("_i")
     one, two = (x.first() for x in (regions.composite_score(few, ["x", "y"], ["scene"], "cluster", "n"), regions.composite_score(many, ["x", "y"], ["scene"], "cluster")))
     assert [*one] == pytest.approx([*two])
+
+
+def test_recursive_spectral_makes_no_table_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(regions, "affinity_edges", None)
+    assert QUERIES["recursive_spectral"](spark, SF).count() > 0

@@ -351,8 +351,7 @@ def _(t):
 def _(t):
     points, features = scene_balls(t, ["scene"])
     balls = stored(ball_table(points, features, ["scene"]))
-    edges = with_loops(affinity_edges(balls, ["scene"], (0.5,)), balls, ["scene", "delta"])
-    return recursive_spectral(edges, ["scene", "delta"], graph_bounds(balls, ["scene"]), (2, 3))
+    return ball_clusters(balls, ["scene"], (0.5,), graph_bounds(balls, ["scene"]), (2, 3))
 
 
 # Scores of labelled points
