@@ -244,3 +244,18 @@ def test_weights_count_as_copies(spark):
 def test_recursive_spectral_makes_no_table_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(regions, "affinity_edges", None)
     assert QUERIES["recursive_spectral"](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("most", [20_000_000, 4_000])  # of one basis, and cut back many times
+def test_leading_vectors_are_those_of_the_whole_matrix(monkeypatch, most):
+    """Equal and close eigenvalues, a graph in parts, few rows."""
+    monkeypatch.setattr(regions, "BASIS", most)
+    r = np.random.default_rng(0)
+    turn = np.linalg.qr(r.normal(size=(200, 200)))[0]
+    values = np.r_[[2.0] * 4, 1.995, 1.99, np.linspace(0, 1.98, 194)]
+    for w, k in (((turn * values) @ turn.T, 4), ((turn * values) @ turn.T, 6), (np.eye(120), 3), (np.diag([2.0, 1.0, 0.0]), 5)):
+        seen = []
+        got, x = regions.leading_vectors(lambda y: seen.append(1) or w @ y, len(w), k)
+        k = min(k, len(w))
+        assert got == pytest.approx(np.linalg.eigvalsh(w)[::-1][:k], abs=1e-9) and np.abs(w @ x - x * got).max() < 1e-8
+        assert np.abs(x.T @ x - np.eye(k)).max() < 1e-8 and len(seen) < 200

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekspark.graph import TASK_ROWS, stored
+from trekspark.graph import TASK_ROWS, discard, stored
 from trekspark.operators.balls import ball_table, split_balls_by_radius, split_balls_median
 from trekspark.operators.learned import ball_affinity
 from trekspark.operators.spatial import dbscan
@@ -20,6 +22,8 @@ from trekspark.plans.registry import query
 
 DELTAS = tuple(round(0.1 * k, 1) for k in range(1, 11))
 NUMBERS = 4_000_000  # that k-means in a task holds at once
+SOLVED = 100  # nodes of a graph up to which the driver solves it
+BASIS = 20_000_000  # numbers of a basis that the driver holds
 SAMPLE = 5_000  # stays of a scene that regions are fitted on; a graph has at most a tenth as many balls
 
 
@@ -61,8 +65,8 @@ def spectral_embedding(edges: DataFrame, nodes: DataFrame, k: int) -> tuple[Data
     normalised Laplacian, smallest first.
 
     ``edges``: a, b, w of one graph, each pair once; ``nodes``: node. A node has affinity 1 with itself. The matrix is
-    distributed by rows; I + D^-1/2 A D^-1/2 has no negative eigenvalue, so its singular values are its eigenvalues. The driver holds
-    k numbers a node (from 100 nodes on; smaller matrices are solved there).
+    distributed by rows, the largest eigenvalues of I + D^-1/2 A D^-1/2 come from its products with blocks of vectors, a pass each. The driver holds
+    BASIS numbers or some 4 k a node (beyond SOLVED nodes; smaller matrices are solved there).
     """
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where("w > 0")
     both = both.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("w")))
@@ -72,11 +76,74 @@ def spectral_embedding(edges: DataFrame, nodes: DataFrame, k: int) -> tuple[Data
     left, right = degree.select(F.col("node").alias("a"), "i", F.col("d").alias("di")), degree.select(F.col("node").alias("b"), F.col("i").alias("j"), F.col("d").alias("dj"))
     entries = both.join(left, "a").join(right, "b").select("i", "j", (F.col("w") / F.sqrt(F.col("di") * F.col("dj")) + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("v"))
     n = place.count()
-    matrix = CoordinateMatrix(entries.rdd.map(lambda r: MatrixEntry(r.i, r.j, r.v)), n, n).toIndexedRowMatrix()
-    svd = matrix.computeSVD(min(k, n), computeU=True)
-    rows = svd.U.rows.map(lambda r: (r.index, r.vector.toArray().tolist()))
-    vectors = nodes.sparkSession.createDataFrame(rows, "i long, v array<double>")
-    return vectors.join(place, "i").select("node", "v"), [2.0 - s for s in svd.s]
+    entries = stored(entries.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "v").repartitionByRange("i").sortWithinPartitions("i"))
+    if n <= SOLVED:
+        found = entries.toPandas()
+        w = np.zeros((n, n))
+        w[found["i"], found["j"]] = found["v"]
+        values, x = np.linalg.eigh(w)
+        values, x = values[::-1][:k], x[:, ::-1][:, :k]
+    else:
+        values, x = leading_vectors(lambda y: _product(entries, y), n, k)
+    discard(entries)
+    spark = nodes.sparkSession
+    some = lambda y: pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))
+    parts = [spark.createDataFrame(pa.table({"i": np.arange(at, min(n, at + TASK_ROWS)), "v": some(x[at : at + TASK_ROWS])}), "i long, v array<double>") for at in range(0, n, TASK_ROWS)]
+    vectors = parts[0]
+    for more in parts[1:]:
+        vectors = vectors.unionByName(more)
+    return vectors.join(place, "i").select("node", "v"), (2.0 - values).tolist()
+
+
+def _product(entries: DataFrame, x: np.ndarray) -> np.ndarray:
+    """A symmetric matrix (i, j, v; sorted by i in each part) times the columns of ``x``: each task sums its rows, the driver puts them together."""
+    held = entries.sparkSession.sparkContext.broadcast(x)
+    names = [f"y{c}" for c in range(x.shape[1])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                i, j, v = (c.to_numpy() for c in batch.columns)
+                first = np.flatnonzero(np.diff(i, prepend=-1))
+                y = np.add.reduceat(v[:, None] * held.value[j], first, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(i[first]), *(pa.array(c) for c in y.T)], ["i", *names])
+
+    parts = entries.mapInArrow(run, ", ".join(["i int", *(f"{c} double" for c in names)])).toArrow()
+    held.destroy()
+    out, at = np.zeros(x.shape), parts["i"].to_numpy()
+    for c, name in enumerate(names):
+        out[:, c] = np.bincount(at, parts[name].to_numpy(), len(x))
+    return out
+
+
+def leading_vectors(product: Callable[[np.ndarray], np.ndarray], n: int, k: int, seed: int = 0, tolerance: float = 1e-9, rounds: int = 3_000) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues of a symmetric matrix of ``n`` rows and their vectors, by block Lanczos from a few more columns than asked, so that equal
+    eigenvalues are all found; the basis is kept orthogonal and is cut back to its best vectors once it holds BASIS numbers or 256 columns."""
+    k = min(k, n)
+    wide = min(n, k + 4)
+    most = max(4 * wide, min(256, BASIS // n))
+    new = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, wide)))[0]
+    q, image = np.empty((n, 0)), np.empty((n, 0))
+    for _ in range(rounds):
+        q, image = np.hstack([q, new]), np.hstack([image, product(new)])
+        inner = q.T @ image
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        x = q @ turn[:, :k]
+        if q.shape[1] >= k and np.linalg.norm(image @ turn[:, :k] - x * values[:k], axis=0).max() <= tolerance:
+            return values[:k], x
+        rest = image[:, -new.shape[1] :]
+        for _ in range(2):
+            rest = rest - q @ (q.T @ rest)
+        new, size, _ = np.linalg.svd(rest, full_matrices=False)
+        new = new[:, size > 1e-11]
+        if not new.shape[1]:
+            return values[:k], x
+        if q.shape[1] + new.shape[1] > most:
+            kept = turn[:, : max(2 * wide, most // 3)]
+            q, image = q @ kept, image @ kept
+        new = np.linalg.qr(new - q @ (q.T @ new))[0]
+    raise RuntimeError(f"eigenvectors not found in {rounds} rounds")
 
 
 def spectral_clusters(edges: DataFrame, nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
